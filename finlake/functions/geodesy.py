@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # GRS80 ellipsoid and UTM grid constants.
@@ -36,21 +36,33 @@ def utm_series(flattening: float = FLATTENING) -> tuple[float, list[float], list
     return radius, beta, delta
 
 
-def utm_to_latlon(easting: Column, northing: Column, zone: int = 10) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees of a northern-hemisphere UTM point."""
+def add_latlon(df: DataFrame, easting: str, northing: str, lat: str, lon: str, zone: int = 10) -> DataFrame:
+    """Add latitude and longitude in degrees of northern-hemisphere UTM points.
+
+    One projection per step of the formula: the intermediate columns are used
+    several times, and nested in one expression they would be evaluated anew
+    at every use.
+    """
     radius, beta, delta = utm_series()
-    xi = northing / F.lit(SCALE * radius)
-    eta = (easting - F.lit(FALSE_EASTING)) / F.lit(SCALE * radius)
+    xi, eta, chi = F.col("_xi"), F.col("_eta"), F.col("_chi")
     xi_c, eta_c = xi, eta
     for j, b in enumerate(beta, start=1):
         xi_c = xi_c - F.lit(b) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
         eta_c = eta_c - F.lit(b) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
-    chi = F.asin(F.sin(xi_c) / F.cosh(eta_c))
-    lat = chi
+    phi = chi
     for j, d in enumerate(delta, start=1):
-        lat = lat + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
-    lon = F.lit(math.radians(zone * 6 - 183)) + F.atan2(F.sinh(eta_c), F.cos(xi_c))
-    return F.degrees(lat), F.degrees(lon)
+        phi = phi + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
+    meridian = F.lit(math.radians(zone * 6 - 183))
+    return (
+        df.withColumns({
+            "_xi": F.col(northing) / F.lit(SCALE * radius),
+            "_eta": (F.col(easting) - F.lit(FALSE_EASTING)) / F.lit(SCALE * radius),
+        })
+        .withColumns({"_xic": xi_c, "_etac": eta_c})
+        .withColumn("_chi", F.asin(F.sin("_xic") / F.cosh("_etac")))
+        .withColumns({lat: F.degrees(phi), lon: F.degrees(meridian + F.atan2(F.sinh("_etac"), F.cos("_xic")))})
+        .drop("_xi", "_eta", "_xic", "_etac", "_chi")
+    )
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

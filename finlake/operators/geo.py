@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finlake.functions.geodesy import haversine, utm_to_latlon
+from finlake.functions.geodesy import add_latlon, haversine
 
 # Number of hotspots and seed.
 HOTSPOTS = 10
@@ -30,8 +30,7 @@ def crime_project(df: DataFrame) -> DataFrame:
 
 def utm_to_wgs84(df: DataFrame, zone: int = 10) -> DataFrame:
     """Replace grid coordinates in Latitude/Longitude by degrees."""
-    lat, lon = utm_to_latlon(F.col("Longitude"), F.col("Latitude"), zone)
-    return df.withColumns({"Latitude": lat, "Longitude": lon})
+    return add_latlon(df, "Longitude", "Latitude", "Latitude", "Longitude", zone)
 
 
 def hotspots(df: DataFrame, k: int = HOTSPOTS, seed: int = SEED) -> tuple[list[Centre], DataFrame]:
@@ -45,14 +44,18 @@ def hotspots(df: DataFrame, k: int = HOTSPOTS, seed: int = SEED) -> tuple[list[C
 def assign_cluster(df: DataFrame, centres: Sequence[Centre]) -> DataFrame:
     """Nearest given centre by squared distance in degrees, ties to the lowest id.
 
-    The centres are literals of one expression: no join and no shuffle.
+    The centres are a literal array inside the expression: no join, no
+    shuffle, and the expression stays small however many centres there are.
     """
-    def squared(lat: float, lon: float) -> Column:
-        dy, dx = F.col("Latitude") - F.lit(lat), F.col("Longitude") - F.lit(lon)
-        return dy * dy + dx * dx
+    places = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+                       for i, lat, lon in centres])
 
-    options = F.array(*[F.struct(squared(lat, lon).alias("d"), F.lit(i).alias("id")) for i, lat, lon in centres])
-    return df.withColumn("cluster", F.array_min(options)["id"])
+    def option(c: Column) -> Column:
+        dy, dx = F.col("Latitude") - c["lat"], F.col("Longitude") - c["lon"]
+        return F.struct((dy * dy + dx * dx).alias("d"), c["id"].alias("id"))
+
+    located = F.col("Latitude").isNotNull() & F.col("Longitude").isNotNull()
+    return df.withColumn("cluster", F.when(located, F.array_min(F.transform(places, option))["id"]))
 
 
 def nearest_node(nodes: DataFrame, points: Sequence[Centre]) -> DataFrame:

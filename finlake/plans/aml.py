@@ -130,7 +130,7 @@ def _(spark, d):
     return spark.read.parquet(path).select("batch_id", "issue_type", "count")
 
 
-@query("src2_csv_strings", with_views(
+@query("src2_snk8_csv_strings", with_views(
     "SELECT " + ", ".join(f"CASE WHEN \"{c}\"='' THEN NULL ELSE \"{c}\" END AS \"{c}\"" for c in RAW_AML_COLUMNS) + " FROM aml_raw", "aml_raw"))
 def _(spark, d):
     path = new_path(spark, "raw-csv")

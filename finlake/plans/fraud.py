@@ -158,7 +158,7 @@ def _stored_alerts(spark, d):
     return spark.read.parquet(path)
 
 
-@query("str1_str5_snk2_alert_stream", with_views(_ALL_ALERTS, "paysim"))
+@query("str1_str2_str4_str5_snk2_alert_stream", with_views(_ALL_ALERTS, "paysim"))
 def _(spark, d):
     return _stored_alerts(spark, d).drop("detected_at", "created_at", "batch_id")
 

@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="finlake-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="finlake-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -63,6 +64,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/finlake/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/finlake/{name}-{uuid.uuid4().hex}"
+    """A fresh, unused path below the shared folder, in the folder of this application."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> bool:
+    """Delete everything this application staged; call it when the results were written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
