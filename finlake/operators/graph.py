@@ -65,21 +65,24 @@ def _trim(links: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _colours(links: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per node the greatest id that reaches it."""
-    colour = materialise(ids.select("id", F.col("id").alias("colour")))
-    frontier = colour
+    """Per node the greatest id that reaches it.
+
+    A node keeps its colour unless a greater one is offered; ``since`` is the
+    round it got it in, so the nodes to spread next are those of the last round.
+    """
+    state = materialise(ids.select("id", F.col("id").alias("colour"), F.lit(0).alias("since")))
+    turn = 0
     while True:
-        offered = (
-            frontier.join(links, frontier["id"] == links["src"])
-            .groupBy(F.col("dst").alias("id"))
-            .agg(F.max("colour").alias("offer"))
-        )
-        changed = materialise(
-            offered.join(colour, "id").where(F.col("offer") > F.col("colour")).select("id", F.col("offer").alias("colour")))
-        if changed.isEmpty():
-            return colour
-        colour = materialise(colour.join(changed.select("id"), "id", "left_anti").unionByName(changed))
-        frontier = changed
+        active = state.where(F.col("since") == turn)
+        turn += 1
+        offers = active.join(links, active["id"] == links["src"]).select(
+            F.col("dst").alias("id"), "colour", F.lit(turn).alias("since"))
+        best = F.max(F.struct(F.col("colour"), (-F.col("since")).alias("age")))
+        state = materialise(
+            state.unionByName(offers).groupBy("id").agg(best.alias("b"))
+            .select("id", "b.colour", (-F.col("b.age")).alias("since")))
+        if state.where(F.col("since") == turn).isEmpty():
+            return state.select("id", "colour")
 
 
 def _same_colour(links: DataFrame, colour: DataFrame) -> DataFrame:
@@ -170,24 +173,23 @@ def shortest_paths(edges: DataFrame, sources: Sequence[int]) -> DataFrame:
     roads = materialise(min_edges(edges))
     id_type = roads.schema["src"].dataType
     ids = list(dict.fromkeys(sources))
-    best = spark.createDataFrame([(i,) for i in ids], "source long").select(
+    state = materialise(spark.createDataFrame([(i,) for i in ids], "source long").select(
         F.col("source").cast(id_type).alias("source"), F.col("source").cast(id_type).alias("node"),
-        F.lit(0.0).alias("dist"), F.lit(None).cast(id_type).alias("pred"))
-    frontier = best
+        F.lit(0.0).alias("dist"), F.lit(None).cast(id_type).alias("pred"), F.lit(0).alias("since")))
+    turn = 0
     while True:
-        offers = (
-            frontier.join(roads, frontier["node"] == roads["src"])
-            .groupBy("source", F.col("dst").alias("node"))
-            .agg(F.min(F.struct((F.col("dist") + F.col("length")).alias("dist"), F.col("src").alias("pred"))).alias("o"))
-        )
-        known = best.select("source", "node", F.col("dist").alias("known"))
-        frontier = materialise(
-            offers.join(known, ["source", "node"], "left")
-            .where(F.col("known").isNull() | (F.col("o.dist") < F.col("known")))
-            .select("source", "node", "o.dist", "o.pred"))
-        if frontier.isEmpty():
-            return best
-        best = materialise(best.join(frontier, ["source", "node"], "left_anti").unionByName(frontier))
+        active = state.where(F.col("since") == turn)
+        turn += 1
+        offers = active.join(roads, active["node"] == roads["src"]).select(
+            "source", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
+            F.col("src").alias("pred"), F.lit(turn).alias("since"))
+        # On equal distance the earlier round stays, so settled nodes are not spread again.
+        best = F.min(F.struct("dist", "since", "pred"))
+        state = materialise(
+            state.unionByName(offers).groupBy("source", "node").agg(best.alias("b"))
+            .select("source", "node", "b.dist", "b.pred", "b.since"))
+        if state.where(F.col("since") == turn).isEmpty():
+            return state.drop("since")
 
 
 def distance_matrix(paths: DataFrame, hotspots: Sequence[int]) -> DataFrame:
