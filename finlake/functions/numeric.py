@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+# Size of the low part of an integer sum.
+_LOW_BITS = 20
 
 
 def _col(c: Column | str) -> Column:
@@ -33,12 +34,22 @@ def pct(num: Column | str, den: Column | str, digits: int = 2) -> Column:
     return portable_round(F.try_divide(_col(num).cast("double") * F.lit(100.0), _col(den).cast("double")), digits)
 
 
-def exact_sum(c: Column | str, kind: str = MONEY) -> Column:
-    """Sum through fixed-point decimals, so the result does not depend on the
-    order in which partial sums arrive (a rerun gives the same cents)."""
-    return F.sum(_col(c).cast(kind)).cast("double")
+def exact_sum(c: Column | str, digits: int = 2) -> Column:
+    """Sum of values rounded to ``digits``, the same whatever the order of the partial sums.
+
+    Values become whole units (cents for two digits), summed as integers in a
+    high and a low part: neither part can overflow at any realistic row count,
+    and integer sums stay in fixed-width aggregation buffers, where decimals
+    wide enough for the total would be objects.
+    """
+    x = _col(c).cast("double")
+    units = F.floor(F.abs(x) * F.lit(float(10**digits)) + F.lit(0.5))
+    units = F.when(x < 0, -units).otherwise(units)
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("double")
+    low = F.sum(units.bitwiseAND(F.lit(2**_LOW_BITS - 1).cast("bigint"))).cast("double")
+    return (high * F.lit(float(2**_LOW_BITS)) + low) / F.lit(float(10**digits))
 
 
-def exact_avg(c: Column | str, kind: str = MONEY) -> Column:
+def exact_avg(c: Column | str, digits: int = 2) -> Column:
     """Mean of non-null values from an order-independent sum."""
-    return F.try_divide(exact_sum(c, kind), F.count(_col(c)).cast("double"))
+    return F.try_divide(exact_sum(c, digits), F.count(_col(c)).cast("double"))

@@ -11,12 +11,11 @@ NA_VALUES = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Timestamp layouts of the raw transaction exports.
-ISO_T = "yyyy-MM-dd'T'HH:mm:ss"
-ISO_SPACE = "yyyy-MM-dd HH:mm:ss"
-US_MINUTE = "MM/dd/yyyy HH:mm"
-DASH_MONTH_FIRST = "MM-dd-yyyy HH:mm:ss"
-DASH_DAY_FIRST = "dd-MM-yyyy HH:mm:ss"
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -24,8 +23,8 @@ def _col(c: Column | str) -> Column:
 
 
 def squash(c: Column | str) -> Column:
-    """Strip every kind of white space from both ends (``trim`` knows only blanks)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Strip every kind of white space from both ends (``trim`` alone knows only blanks)."""
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def parse_amount(c: Column | str) -> Column:
@@ -37,38 +36,31 @@ def parse_amount(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"[^0-9.\-]", "").try_cast("double")
 
 
-def _try_layouts(s: Column, *layouts: str) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in layouts])
+def _iso(s: Column, marks: str, month_first: bool) -> Column:
+    """Text with a leading ``aa?bb?yyyy`` in ISO order; any other text unchanged."""
+    return F.regexp_replace(s, rf"^(\d\d)([{marks}])(\d\d)\2(\d{{4}})", "$4-$1-$3" if month_first else "$4-$3-$1")
 
 
 def parse_ts(c: Column | str, day_first: bool = False) -> Column:
-    """Read the four known layouts.
+    """Read ISO text with a blank or a T, ``MM/dd/yyyy HH:mm`` and dashed dates with a time.
 
     ``05-01-2026`` is ambiguous. The default takes the month first and falls
     back to the day when that is impossible, which is what a lenient date
     parser does; ``day_first=True`` is the layout the exports are written in.
 
-    The position of the separators picks the layout, so a row pays for one
-    parse and not for a chain of failing ones.
+    The text is rearranged to ISO order and cast: the cast is many times
+    faster than pattern parsers, above all on text they reject.
     """
     s = squash(c)
-    dashes = (DASH_DAY_FIRST, DASH_MONTH_FIRST) if day_first else (DASH_MONTH_FIRST, DASH_DAY_FIRST)
-    return (
-        F.when(F.substring(s, 11, 1) == "T", _try_layouts(s, ISO_T))
-        .when(F.substring(s, 5, 1) == "-", _try_layouts(s, ISO_SPACE))
-        .when(F.substring(s, 3, 1) == "/", _try_layouts(s, US_MINUTE))
-        .when(F.substring(s, 3, 1) == "-", _try_layouts(s, *dashes))
-    )
+    usual = _iso(_iso(s, "/", True), "-", not day_first)
+    other = _iso(_iso(s, "/", False), "-", day_first)
+    return F.coalesce(usual.try_cast("timestamp"), other.try_cast("timestamp"))
 
 
 def parse_date(c: Column | str) -> Column:
     """Date from text, day first, unreadable values null."""
     s = squash(c)
-    return F.to_date(
-        F.when(F.substring(s, 5, 1) == "-", _try_layouts(s, "yyyy-MM-dd"))
-        .when(F.substring(s, 3, 1) == "/", _try_layouts(s, "dd/MM/yyyy", "MM/dd/yyyy"))
-        .when(F.substring(s, 3, 1) == "-", _try_layouts(s, "dd-MM-yyyy", "MM-dd-yyyy"))
-    )
+    return F.coalesce(_iso(s, "/-", False).try_cast("date"), _iso(s, "/-", True).try_cast("date"))
 
 
 def normalise_code(c: Column | str) -> Column:

@@ -22,7 +22,8 @@ FEATURES = (
 GRID = {"n_estimators": (50, 100), "max_depth": (3, 5), "learning_rate": (0.05, 0.1)}
 SEED = 42
 LABEL = "revenue_sum"
-RATE = "decimal(18,6)"
+# Decimals kept in sums of hourly rates.
+RATE_DIGITS = 6
 
 
 def strip_names(df: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def monthly_features(df: DataFrame) -> DataFrame:
             portable_round(exact_avg("price")).alias("revenue_mean"),
             portable_round(F.coalesce(F.stddev_samp("price"), F.lit(0.0))).alias("revenue_std"),
             F.coalesce(exact_sum("hours"), F.lit(0.0)).alias("hours_sum"),
-            portable_round(exact_avg("rate", RATE)).alias("billingrate_mean"),
+            portable_round(exact_avg("rate", RATE_DIGITS)).alias("billingrate_mean"),
             F.countDistinct("project").alias("project_count"),
         )
         .withColumns({"month": F.month("year_month"), "quarter": F.quarter("year_month")})

@@ -18,7 +18,7 @@ SILVER_NAMES = {
 UNUSED = ("RowNumber", "Surname")
 PRODUCTS = ("EmergingMarketFund", "RealEstate", "PrivateEquity", "GovtBonds", "CorpBonds", "ETF_Tech", "ETF_Health", "ETF_Med")
 # Rates such as returns keep six decimals in the exact sums.
-FINE = "decimal(18,6)"
+FINE = 6
 
 
 def to_silver_names(df: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def profit_by(cards: DataFrame, by: Column | str, name: str) -> DataFrame:
     return cards.groupBy(key.alias(name)).agg(
         F.count(F.lit(1)).alias("customers"),
         portable_round(exact_avg("annual_profit")).alias("avg_profit"),
-        portable_round(exact_avg("util_ratio", "decimal(18,3)") * 100).alias("avg_util_pct"),
+        portable_round(exact_avg("util_ratio", 3) * 100).alias("avg_util_pct"),
     )
 
 

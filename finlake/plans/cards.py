@@ -73,7 +73,7 @@ def _(spark, d):
 
 @query("agg5_profit_by_tenure", with_views(
     f"""SELECT tenure, count(*) AS customers, {pr(avg('annual_profit'))} AS avg_profit,
-    {pr('(' + avg('util_ratio', 'DECIMAL(18,3)') + '*100)')} AS avg_util_pct FROM cards GROUP BY tenure""", "cards"))
+    {pr('(' + avg('util_ratio', 3) + '*100)')} AS avg_util_pct FROM cards GROUP BY tenure""", "cards"))
 def _(spark, d):
     return S.profit_by_tenure(S.card_enriched(credit_cards(spark, d)))
 
@@ -121,7 +121,7 @@ def _(spark, d):
 
 @query("win1_profit_vintiles", with_views(
     f"""SELECT CASE WHEN v=20 THEN 'Top 5 %' ELSE 'Bottom 5 %' END AS segment, count(*) AS customers,
-    {pr(avg('annual_profit'))} AS avg_profit, {pr('(' + avg('util_ratio', 'DECIMAL(18,3)') + '*100)')} AS avg_util_pct
+    {pr(avg('annual_profit'))} AS avg_profit, {pr('(' + avg('util_ratio', 3) + '*100)')} AS avg_util_pct
     FROM (SELECT *, ntile(20) OVER (ORDER BY annual_profit NULLS FIRST, cust_id) AS v FROM cards) WHERE v IN (1,20) GROUP BY 1""", "cards"))
 def _(spark, d):
     return S.extreme_segments(S.card_enriched(credit_cards(spark, d)))

@@ -8,12 +8,13 @@ def pr(x: str, digits: int = 2) -> str:
     return f"(sign({x})*floor(abs({x})*1e{digits}+0.5e0)/1e{digits}+0e0)"
 
 
-def money_sum(x: str) -> str:
-    return f"sum(CAST({x} AS DECIMAL(18,2)))::DOUBLE"
+def money_sum(x: str, digits: int = 2) -> str:
+    """SQL of ``exact_sum``."""
+    return f"(sum((CASE WHEN {x}<0 THEN -1 ELSE 1 END*floor(abs({x})*1e{digits}+0.5e0))::BIGINT)::DOUBLE/1e{digits})"
 
 
-def avg(x: str, kind: str = "DECIMAL(18,2)") -> str:
-    return f"(sum(CAST({x} AS {kind}))::DOUBLE/nullif(count({x}),0))"
+def avg(x: str, digits: int = 2) -> str:
+    return f"({money_sum(x, digits)}/nullif(count({x}),0))"
 
 
 def pct(a: str, b: str, digits: int = 2) -> str:
@@ -174,7 +175,7 @@ SELECT * EXCLUDE ("RowNumber","Surname","ETF Tech","ETF Health","ETF Med","Risk
   CASE WHEN "Debt">0 THEN "EstimatedSalary"/"Debt" END AS "SalaryToDebtRatio"
 FROM bank_customers WHERE "Age">0 AND "EstimatedSalary">0 AND "CreditScore">0""")
 
-_F = "DECIMAL(18,6)"
+_F = 6
 VIEWS["gold_tiers"] = (("silver",), f"""
 SELECT "WealthTier", count(*) AS total_customers, {avg('"Net_Assets"')} AS avg_net_assets,
   {avg('"Portfolio_Return"', _F)} AS avg_portfolio_return, {avg('"CreditScore"')} AS avg_credit_score,

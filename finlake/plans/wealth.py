@@ -12,7 +12,7 @@ from finlake.plans.tables import bank_customers
 from finlake.session import new_path
 from finlake.sources.sinks import write_table
 
-_F = "DECIMAL(18,6)"
+_F = 6
 _CHURN = 'sum("Churn")::BIGINT'
 
 

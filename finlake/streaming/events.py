@@ -12,10 +12,12 @@ from finlake.schemas import TRANSACTION
 def read_events(stream: DataFrame) -> DataFrame:
     """Parse the JSON in ``value``; broken messages and other types are dropped.
 
-    Works on any source with a text or binary ``value``, stream or batch.
+    Works on any source with a text or binary ``value``, stream or batch. The
+    parsed struct passes through ``inline``: filters on its fields stay above
+    that step, where otherwise each of them would parse the message again.
     """
-    parsed = stream.select(F.from_json(F.col("value").cast("string"), TRANSACTION).alias("tx"))
-    return screened(parsed.select("tx.*"))
+    tx = F.from_json(F.col("value").cast("string"), TRANSACTION)
+    return screened(stream.select(F.inline(F.array(tx))))
 
 
 def message_source(servers: str, topic: str, starting: str = "latest", per_trigger: int | None = None,
