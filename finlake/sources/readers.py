@@ -57,6 +57,6 @@ def route_source(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     if ext in DIRECT:
         return "sql", spark.read.format(DIRECT[ext]).load(path)
     if ext in TEXT:
-        docs = spark.read.option("wholetext", "true").text(path)
+        docs = spark.read.text(path, wholetext=True)
         return "rag", docs.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
     raise ValueError(f"Unsupported file type: {ext}")
