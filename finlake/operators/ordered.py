@@ -76,7 +76,7 @@ def global_ntile(df: DataFrame, k: int, order: Sequence[str], by: Sequence[str]
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles per key: columns keys, ``prob``, ``quantile``, ``n``.
+    """Exact interpolated quantiles per non-null key: columns keys, ``prob``, ``quantile``, ``n``.
 
     An exact percentile aggregate keeps all distinct values of a key in one
     buffer. Here values are counted per (key, value), then per (key, bucket)
@@ -86,11 +86,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """
     keys = list(keys)
     v = F.col(value)
+    present = v.isNotNull() & ~F.isnan(v.cast("double"))
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    # Both uses of the counts see the same filters and columns, so the second reuses the exchange of the first.
     counts = (
-        df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+        df.where(present)
         .groupBy(*keys, v.cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.floor(F.signum("_v") * F.log2(F.lit(1.0) + F.abs("_v")) * 32))
+        .withColumn("_b", F.coalesce(F.floor(F.signum("_v") * F.log2(F.lit(1.0) + F.abs("_v")) * 32), F.lit(0)))
     )
     per_key = Window.partitionBy(*keys)
     buckets = (
@@ -142,7 +146,8 @@ def with_next(df: DataFrame, key: str, seconds: str, tiebreak: str, cols: Sequen
     """
     span = max(86400, horizon)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(hot_keys(counts, [key], "_n", share, min_rows).withColumn("_hot", F.lit(True)))
+    # Counted once although both the heads and the rows below look it up; see hot_keys for its size.
+    hot = F.broadcast(materialise(hot_keys(counts, [key], "_n", share, min_rows).withColumn("_hot", F.lit(True))))
     day = F.floor(F.col(seconds) / span) * span
     sliced = (
         df.join(hot, key, "left")

@@ -16,7 +16,7 @@ from finlake.functions.parsing import normalise_code, parse_amount, parse_ts, sq
 from finlake.operators.ordered import exact_median
 from finlake.operators.skew import attach
 from finlake.schemas import RAW_AML, RAW_AML_COLUMNS, assert_schema
-from finlake.session import materialise, stage_table
+from finlake.session import stage_table
 
 TEXT_COLUMNS = ("origin_country", "destination_country", "memo", "channel", "transaction_type")
 
@@ -51,16 +51,12 @@ def dedup_first(df: DataFrame, key: str, order: str, count: str | None = None) -
 
 
 def flag_outliers(df: DataFrame, mult: float = 8.0, floor: float = 5000.0, account: str = "account_id",
-                  amount: str = "amount", row_id: str = "transaction_id", cut: bool = False) -> DataFrame:
+                  amount: str = "amount", row_id: str = "transaction_id") -> DataFrame:
     """Add ``amount_outlier_flag``: above ``mult`` medians of the account and above ``floor``.
 
-    The median is exact and interpolated over all rows with an amount. With
-    ``cut`` the per-account medians are checkpointed, for callers that read
-    the result more than once.
+    The median is exact and interpolated over all rows with an amount.
     """
-    medians = exact_median(df.where(F.col(account).isNotNull()), [account], amount, "_median")
-    if cut:
-        medians = materialise(medians)
+    medians = exact_median(df, [account], amount, "_median")
     joined = attach(df, medians, [account], "n", spread=row_id, how="left")
     test = (F.col("_median") > 0) & (F.col(amount) > F.col("_median") * mult) & (F.col(amount) > floor)
     return joined.withColumn("amount_outlier_flag", F.coalesce(test, F.lit(False))).drop("_median")
@@ -95,7 +91,7 @@ def tag_transactions(raw: DataFrame, order: str = "ingest_no", mult: float = 8.0
     if stage:
         parsed = stage_table(parsed, "transactions")
     code = normalise_code("currency")
-    flagged = flag_outliers(parsed, mult, floor, cut=stage)
+    flagged = flag_outliers(parsed, mult, floor)
     marked = flagged.withColumns({
         "_bad_amount": F.col("amount").isNull(),
         "_bad_ts": F.col("amount").isNotNull() & F.col("ts").isNull(),

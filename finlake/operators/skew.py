@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001
+from finlake.session import materialise
+
+HOT_SHARE = 0.00001
 HOT_MIN_ROWS = 1_000_000
 SALTS = 256
 
@@ -37,9 +39,13 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], n: str, spre
     ``rows`` carry the key and is dropped. Rows of hot keys are spread over
     ``salts`` sub-keys by a hash of the column ``spread`` (deterministic, so a
     retried task makes the same choice) and only the hot lookup rows are
-    copied once per sub-key. Keys must not be null.
+    copied once per sub-key. Keys of ``lookup`` must not be null.
+
+    The lookup is checkpointed: it is read for the hot keys and for the join,
+    and the aggregate behind it should scan the rows once, not once per use.
     """
     keys = list(keys)
+    lookup = materialise(lookup)
     hot = F.broadcast(hot_keys(lookup, keys, n, share, min_rows).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
