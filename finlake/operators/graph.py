@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlake.session import materialise
+from finlake.session import bucketed, materialise
 
 # Rounds after which the union of deltas is rewritten as one table.
 CONSOLIDATE = 10
@@ -35,14 +35,15 @@ def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
     """Ids reachable from ``start`` (id) over ``links`` (src, dst), start included."""
     frontier = start.select("id")
     seen = [frontier]
-    while True:
-        step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = materialise(step.join(_union(seen), "id", "left_anti"))
-        if frontier.isEmpty():
-            return _union(seen)
-        seen.append(frontier)
-        if len(seen) > CONSOLIDATE:
-            seen = [materialise(_union(seen))]
+    with bucketed(links, "src") as table:
+        while True:
+            step = frontier.join(table, frontier["id"] == table["src"]).select(F.col("dst").alias("id")).distinct()
+            frontier = materialise(step.join(_union(seen), "id", "left_anti"))
+            if frontier.isEmpty():
+                return _union(seen)
+            seen.append(frontier)
+            if len(seen) > CONSOLIDATE:
+                seen = [materialise(_union(seen))]
 
 
 def _within(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -72,17 +73,18 @@ def _colours(links: DataFrame, ids: DataFrame) -> DataFrame:
     """
     state = materialise(ids.select("id", F.col("id").alias("colour"), F.lit(0).alias("since")))
     turn = 0
-    while True:
-        active = state.where(F.col("since") == turn)
-        turn += 1
-        offers = active.join(links, active["id"] == links["src"]).select(
-            F.col("dst").alias("id"), "colour", F.lit(turn).alias("since"))
-        best = F.max(F.struct(F.col("colour"), (-F.col("since")).alias("age")))
-        state = materialise(
-            state.unionByName(offers).groupBy("id").agg(best.alias("b"))
-            .select("id", "b.colour", (-F.col("b.age")).alias("since")))
-        if state.where(F.col("since") == turn).isEmpty():
-            return state.select("id", "colour")
+    with bucketed(links, "src") as table:
+        while True:
+            active = state.where(F.col("since") == turn)
+            turn += 1
+            offers = active.join(table, active["id"] == table["src"]).select(
+                F.col("dst").alias("id"), "colour", F.lit(turn).alias("since"))
+            best = F.max(F.struct(F.col("colour"), (-F.col("since")).alias("age")))
+            state = materialise(
+                state.unionByName(offers).groupBy("id").agg(best.alias("b"))
+                .select("id", "b.colour", (-F.col("b.age")).alias("since")))
+            if state.where(F.col("since") == turn).isEmpty():
+                return state.select("id", "colour")
 
 
 def _same_colour(links: DataFrame, colour: DataFrame) -> DataFrame:
@@ -170,26 +172,26 @@ def shortest_paths(edges: DataFrame, sources: Sequence[int]) -> DataFrame:
     relaxes the edges out of all nodes improved in the round before.
     """
     spark = edges.sparkSession
-    roads = materialise(min_edges(edges))
-    id_type = roads.schema["src"].dataType
+    id_type = edges.schema["src"].dataType
     ids = list(dict.fromkeys(sources))
     state = materialise(spark.createDataFrame([(i,) for i in ids], "source long").select(
         F.col("source").cast(id_type).alias("source"), F.col("source").cast(id_type).alias("node"),
         F.lit(0.0).alias("dist"), F.lit(None).cast(id_type).alias("pred"), F.lit(0).alias("since")))
     turn = 0
-    while True:
-        active = state.where(F.col("since") == turn)
-        turn += 1
-        offers = active.join(roads, active["node"] == roads["src"]).select(
-            "source", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
-            F.col("src").alias("pred"), F.lit(turn).alias("since"))
-        # On equal distance the earlier round stays, so settled nodes are not spread again.
-        best = F.min(F.struct("dist", "since", "pred"))
-        state = materialise(
-            state.unionByName(offers).groupBy("source", "node").agg(best.alias("b"))
-            .select("source", "node", "b.dist", "b.pred", "b.since"))
-        if state.where(F.col("since") == turn).isEmpty():
-            return state.drop("since")
+    with bucketed(min_edges(edges), "src") as roads:
+        while True:
+            active = state.where(F.col("since") == turn)
+            turn += 1
+            offers = active.join(roads, active["node"] == roads["src"]).select(
+                "source", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
+                F.col("src").alias("pred"), F.lit(turn).alias("since"))
+            # On equal distance the earlier round stays, so settled nodes are not spread again.
+            best = F.min(F.struct("dist", "since", "pred"))
+            state = materialise(
+                state.unionByName(offers).groupBy("source", "node").agg(best.alias("b"))
+                .select("source", "node", "b.dist", "b.pred", "b.since"))
+            if state.where(F.col("since") == turn).isEmpty():
+                return state.drop("since")
 
 
 def distance_matrix(paths: DataFrame, hotspots: Sequence[int]) -> DataFrame:

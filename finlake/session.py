@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,27 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` as a table bucketed and sorted by ``key``, for loops that join it on ``key`` again and again.
+
+    A checkpoint forgets how its rows are partitioned, so each round would
+    shuffle ``df`` anew; buckets are matched by shuffling the other side only.
+    The table leaves the catalogue with the block.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"finlake_{uuid.uuid4().hex}"
+    (
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+        .option("path", new_path(spark, "buckets")).saveAsTable(name)
+    )
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/finlake/{spark.sparkContext.applicationId}"
 
