@@ -205,16 +205,19 @@ def fill_bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return bins, offsets
 
 
-def harmonic_pack(pieces: DataFrame, capacity: int = 2048, worker_docs: int = WORKER_DOCS) -> DataFrame:
+def harmonic_pack(pieces: DataFrame, capacity: int = 2048, worker_docs: int = WORKER_DOCS,
+                  n_docs: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; all their columns are kept.
 
     Needs ``doc_id``, ``start`` and ``length`` (1 to ``capacity``). Workers are
     hash classes of (doc_id, start block), so that one document with a third of
-    all ids is spread too; their number follows the number of documents.
+    all ids is spread too; their number follows the number of documents,
+    ``n_docs`` if the caller knows it (counting pieces makes them once more).
     Offsets of a sequence are gapless from 0. An empty table gives no rows.
     """
-    n = pieces.where(F.col("start") == 0).count()
-    workers = max(1, -(-n // worker_docs))
+    if n_docs is None:
+        n_docs = pieces.where(F.col("start") == 0).count()
+    workers = max(1, -(-n_docs // worker_docs))
     spread = F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / F.lit(64 * capacity))), F.lit(workers))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 

@@ -20,7 +20,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.tokenized_pieces(docs, vocabulary("word_bpe_49k.json"), end_id=1, with_ids=False)
-    return packing.harmonic_pack(pieces)
+    return packing.harmonic_pack(pieces, n_docs=docs.count())
 
 
 QUERIES: dict[str, Query] = {
