@@ -107,7 +107,8 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     owners, hashes = word_hashes(texts)
     counts = np.bincount(owners, minlength=len(texts))
     ends = np.cumsum(counts)
-    factors = _powers(words + 1)[1:] | np.uint64(1)
+    factors = _powers(words + 1)[1:]
+    seeds = np.arange(words + 1, dtype=np.uint64) * _STEP
     out = []
     for end, n in zip(ends.tolist(), counts.tolist()):
         h = hashes[end - n:end]
@@ -118,5 +119,5 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
         total = np.zeros(n - k + 1, dtype=np.uint64)
         for j in range(k):
             total += h[j:n - k + 1 + j] * factors[j]
-        out.append(np.unique(mix(total + np.uint64(k) * _STEP)))
+        out.append(np.unique(mix(total + seeds[k])))
     return out
