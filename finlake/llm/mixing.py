@@ -7,7 +7,7 @@ at random, only in directions that keep both the expected number of documents
 and the expected number of tokens of the sample, until they reach 0 or 1. Each
 block of a source leaves at most two undecided documents; these meet in fewer,
 larger groups, round by round, until a source has one group. Its last two
-documents are the landing problem.
+documents, with the few largest that waited for them, are the landing problem.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from finlake.session import stage_table
 
 #: Documents of a block, on average; a bound of what meets in one group, nothing is left out.
 BLOCK = 1024
+#: Largest documents of a source, which wait for the landing; all their outcomes and those of the last two are compared.
+LANDING = 10
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,14 +92,15 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Decide what is left, keeping the tokens as near as possible to their expectation, then the documents."""
+    """Decide the few documents left: of all outcomes, the one nearest to the expected tokens, then documents."""
     at = np.flatnonzero((p > 0) & (p < 1))
     if not len(at):
         return p
-    picks = np.array(np.meshgrid(*[[0.0, 1.0]] * len(at))).reshape(len(at), -1).T
-    off = [(abs(float((c - p[at]) @ x[at])), abs(float((c - p[at]).sum())), tuple(c)) for c in picks]
+    picks = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+    off = picks - p[at]
+    cost = np.abs(off @ x[at]) / max(1.0, x[at].mean()) + 0.05 * np.abs(off.sum(axis=1))
     out = p.copy()
-    out[at] = min(off)[2]
+    out[at] = picks[int(np.argmin(cost))]
     return out
 
 
@@ -105,11 +108,14 @@ def _decider(id_col: str, salt: int, last: bool) -> Callable[[pd.DataFrame], pd.
     def decide(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop(columns="_block").sort_values([id_col, "size"], kind="stable", ignore_index=True)
         rng = np.random.default_rng([salt, len(part), int(part["size"].sum() % 2**31)])
-        # Large documents first: those that stay undecided are small.
         order = rng.permutation(len(part))
-        order = order[np.argsort(-part["size"].to_numpy()[order], kind="stable")]
+        if last:
+            # A flight ends with its largest documents; all outcomes of the largest few come near any total.
+            order = order[np.argsort(-part["size"].to_numpy()[order], kind="stable")]
+            order[LANDING:] = rng.permutation(order[LANDING:])
         p, x = part["picked"].to_numpy(np.float64)[order], part["size"].to_numpy(np.float64)[order]
-        p = flight(p, x, rng)
+        aside = LANDING if last else 0
+        p[aside:] = flight(p[aside:], x[aside:], rng)
         part.loc[order, "picked"] = land(p, x) if last else p
         return part
 

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from finlake.llm import chat, jaccard, langid, lines, mixing, packing, token_counts, toxicity
+from finlake.llm import (
+    chat, jaccard, langid, lines, mixing, multi_index, packing, threshold_search, token_counts, toxicity,
+)
 from finlake.llm.base import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, ~langid.held_out())
@@ -27,6 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return lines.drop_boilerplate(docs)
@@ -65,8 +75,10 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_multi_index": op1_multi_index,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_threshold_search": op4_threshold_search,
     "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mixing": op7_source_mixing,
