@@ -1,8 +1,9 @@
 """Cleaning, mixing and packing of a corpus, in stages that are each written and read again.
 
 Every stage takes the documents its predecessor kept and returns documents
-with the same columns; the last one returns the packed pieces. Null texts are
-rejected by the first stage; an empty table passes through all of them.
+with the same columns; the last one returns the packed pieces. Null texts, and
+rows without an id, which no later stage could name, are rejected by the first
+stage; an empty table passes through all of them.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from finlake.session import stage_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language the model rejects; texts and labels stay as they are."""
+    """Drops documents whose language the model rejects and rows without an id; the rest stays as it is."""
     model = langid.train(docs, ~langid.held_out())
-    return langid.predict(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+    return langid.predict(docs, model).where(
+        ~F.col("lang_rejected") & F.col("doc_id").isNotNull()).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
