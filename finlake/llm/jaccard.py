@@ -5,12 +5,15 @@ documents in one order, rare ones first, two sets that overlap in t shingles
 share at least m of their first n - t + m. m is chosen for each document: a
 longer prefix costs more list entries, but asks for m shared ones before a
 pair is verified. The estimate of both costs comes from a frequency sketch of
-the whole corpus; a pair needs the smaller m of the two.
+the whole corpus; a pair needs the smaller m of the two. The prefix of a
+document serves its smallest partner; each pair only counts the part of both
+prefixes that its own two sizes ask for.
 
 The result is the connected components of the links, so a pair inside a known
-component need not be looked at: first each set is verified against one leader
-that its prefix shares most with, then only pairs across the components found
-so far, whatever their number. Sets that are equal are one node throughout.
+component need not be looked at: first each set is verified against one leader,
+the set of the most frequent shingles in the lists of its prefix, then only
+pairs across the components found so far, whatever their number. Sets that are
+equal are one node throughout.
 """
 
 from __future__ import annotations
@@ -122,20 +125,25 @@ def set_node(tokens: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, sketch: Broadcast, mean: float, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, m, prefix) of each row; rows without words have n = 0 and no node."""
+    """(doc_id, n, node, m, hub, prefix) of each row; rows without words have n = 0 and no node.
+
+    ``hub`` tells how frequent the set's shingles are; an edited copy has rare ones that its origin lacks.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in slices(batches):
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)
-            made = [prefix(s, counts[_counter(s)], mean, percent) if len(s) else (s, 0) for s in sets]
+            found = [counts[_counter(s)] for s in sets]
+            made = [prefix(s, c, mean, percent) if len(s) else (s, 0) for s, c in zip(sets, found)]
+            hubs = [int(1000 * np.log2(c).mean()) if len(c) else 0 for c in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_node(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([m for _, m in made], pa.int32()),
+                pa.array([m for _, m in made], pa.int32()), pa.array(hubs, pa.int32()),
                 pa.array([p.view(np.int64) for p, _ in made], pa.list_(pa.int64())),
-            ], names=["doc_id", "n", "node", "m", "prefix"])
+            ], names=["doc_id", "n", "node", "m", "hub", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, m int, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, m int, hub int, prefix array<long>")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -193,17 +201,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     live = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stage_table(live.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("m").alias("m")), "nodes")
-    entries = live.select(F.explode("prefix").alias("token"), "node", "n", "m")
+    entries = live.select(F.posexplode("prefix").alias("_at", "token"), "node", "n", "m", "hub")
     # Lists of one set hold no pair, and most lists do.
-    leaders = entries.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
-    leaders = leaders.where("leader != _last").drop("_last")
-    lists = stage_table(entries.join(leaders, "token").dropDuplicates(["token", "node"]), "lists")
+    leaders = entries.groupBy("token").agg(
+        F.min("node").alias("_first"), F.max("node").alias("_last"), F.max_by("node", "hub").alias("leader"))
+    leaders = leaders.where("_first != _last").select("token", "leader")
+    lists = stage_table(entries.drop("hub").join(leaders, "token").dropDuplicates(["token", "node"]), "lists")
 
     similar = f"100 * least(n, n_b) >= {int(percent)} * greatest(n, n_b)"
-    shared = lists.where("node != leader").groupBy("node", "leader").agg(
-        F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # The overlap that the two sizes ask for, and the part of either prefix that shows it.
+    need = f"((n + n_b) * {int(percent)} + {99 + int(percent)}) div {100 + int(percent)}"
+    early = f"_at < n - {need} + least(m, m_b)"
     other = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
-    shared = shared.join(other, "leader").where(similar).where("k >= least(m, m_b)")
+    shared = lists.where("node != leader").join(other, "leader").where(similar).where(early)
+    shared = shared.groupBy("node", "leader").agg(F.count("*").alias("k"), F.first(F.least("m", "m_b")).alias("m"))
+    shared = shared.where("k >= m")
     first = stage_table(shared.groupBy("node").agg(F.max_by("leader", "k").alias("b")).select(
         F.col("node").alias("a"), "b"), "pairs")
     links = stage_table(verify(first, nodes, known, words, percent), "links")
@@ -216,8 +228,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     mixed = stage_table(placed.join(main.where("_roots > 1").drop("_roots"), "token"), "mixed")
     outside = mixed.where("root != main")
     inside = mixed.select("token", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"),
-                          F.col("root").alias("root_b"))
+                          F.col("_at").alias("_at_b"), F.col("root").alias("root_b"))
     across = outside.join(inside, "token").where("root != root_b and (root_b = main or node < node_b)").where(similar)
+    across = across.where(early).where(f"_at_b < n_b - {need} + least(m, m_b)")
     across = across.groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).agg(
         F.count("*").alias("k"), F.min(F.least("m", "m_b")).alias("m")).where("k >= m").select("a", "b")
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
