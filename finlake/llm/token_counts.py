@@ -128,8 +128,9 @@ def count_batch(texts: list[str], tokenizer: Any, cache: _Counts) -> np.ndarray:
         sizes.append(len(got))
     cache.settle()
     sums = np.concatenate([[0], np.cumsum(cache.values_[np.asarray(at, dtype=np.int64)])])
+    sizes = np.asarray(sizes, dtype=np.int64)
     ends = np.cumsum(sizes)
-    return sums[ends] - sums[ends - np.asarray(sizes, dtype=np.int64)]
+    return sums[ends] - sums[ends - sizes]
 
 
 class _Led(_Counts):
@@ -156,7 +157,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str =
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = np.zeros(len(texts), dtype=np.int64)
-            usual = [i for i, t in enumerate(texts) if len(t) <= huge_chars]
+            usual = np.flatnonzero([len(t) <= huge_chars for t in texts])
             tokens[usual] = count_batch([texts[i] for i in usual], tokenizer, cache)
             for i, t in enumerate(texts):
                 if len(t) > huge_chars:
