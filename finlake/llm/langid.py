@@ -129,8 +129,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
     t = float(temperatures[int(np.argmin(losses))])
     p = _softmax(logits / t)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[held]])
-    # No more than a chance above a coin's; a right calibration row is hardly ever below.
-    threshold = min(0.5, float(right[int(REJECT_RIGHT * len(right))])) if len(right) else 0.0
+    # Between even odds and certainty at most; a right calibration row is hardly ever below.
+    most = 0.5 + 0.5 / len(languages)
+    threshold = min(most, float(right[int(REJECT_RIGHT * len(right))])) if len(right) else 0.0
     return LanguageModel(languages, (table / t).astype(np.float32), threshold)
 
 

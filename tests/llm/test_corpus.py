@@ -217,15 +217,14 @@ def test_toxicity_edges(spark):
 def test_label_model_finds_accuracies_and_copies():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.2
-    good = np.where(y & (rng.random(4000) < 0.7), 1, -1)
-    weak = np.where(rng.random(4000) < np.where(y, 0.4, 0.2), 1, -1)
-    other = np.where(rng.random(4000) < np.where(y, 0.6, 0.02), 1, -1)
-    third = np.where(rng.random(4000) < np.where(y, 0.5, 0.03), 1, -1)
-    v = np.stack([good, weak, weak, weak, other, third], axis=1).astype(np.int8)
+    votes = [np.where(rng.random(4000) < np.where(y, 0.3 + 0.05 * i, 0.01), 1, -1) for i in range(7)]
+    weak = np.where(rng.random(4000) < np.where(y, 0.1, 0.05), 1, -1)
+    v = np.stack([*votes, weak, weak, weak], axis=1).astype(np.int8)
     model = toxicity.fit_label_model(v, 0.2)
-    assert model.rates[0, 1, 2] > 0.55 > model.rates[1, 1, 2] and model.shares[0] > 0.8
-    assert (model.shares[1:4] < 0.5).all()
-    assert ((model.posterior(v) > 0.5) == y).mean() > 0.9
+    found = model.rates[:7, 1, 2]
+    assert np.abs(found - (0.3 + 0.05 * np.arange(7))).max() < 0.08 and model.rates[:7, 0, 2].max() < 0.05
+    assert (model.shares[7:] < 0.5).all() and (model.shares[:7] > 0.7).all()
+    assert ((model.posterior(v) > 0.5) == y).mean() > 0.95
 
 
 @pytest.fixture(scope="module")
