@@ -230,9 +230,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     inside = mixed.select("token", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"),
                           F.col("_at").alias("_at_b"), F.col("root").alias("root_b"))
     across = outside.join(inside, "token").where("root != root_b and (root_b = main or node < node_b)").where(similar)
-    across = across.where(early).where(f"_at_b < n_b - {need} + least(m, m_b)")
-    across = across.groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).agg(
-        F.count("*").alias("k"), F.min(F.least("m", "m_b")).alias("m")).where("k >= m").select("a", "b")
+    # The first shingle that a linked pair shares lies in the single-match part of both prefixes.
+    across = across.where(f"_at <= n - {need} and _at_b <= n_b - {need}")
+    across = stage_table(across.select(
+        F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "across")
+    whole = live.join(nodes.select("node", "doc_id"), ["node", "doc_id"]).select("node", "m", "prefix")
+    across = across.join(whole.toDF("a", "m", "prefix"), "a").join(whole.toDF("b", "m_b", "prefix_b"), "b").where(
+        F.size(F.array_intersect("prefix", "prefix_b")) >= F.least("m", "m_b")).select("a", "b").distinct()
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = stage_table(across.join(seen, ["a", "b"], "left_anti"), "pairs")
     more = stage_table(verify(second, nodes, known, words, percent), "links")
