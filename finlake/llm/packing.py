@@ -17,8 +17,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ CACHE_WORDS = 700_000
 #: Characters of a text that are encoded in one go; longer texts are cut at white space.
 STEP_CHARS = 1 << 20
 #: Documents of one worker's bins, on average; several workers never share a bin.
-WORKER_DOCS = 20_000
+WORKER_DOCS = 8_192
 
 
 def _byte_letters() -> dict[int, str]:
@@ -209,7 +209,7 @@ def harmonic_pack(pieces: DataFrame, capacity: int = 2048, worker_docs: int = WO
                   n_docs: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; all their columns are kept.
 
-    Needs ``doc_id``, ``start`` and ``length`` (1 to ``capacity``). Workers are
+    Needs ``doc_id``, ``start``, ``length`` (1 to ``capacity``) and ``doc_tokens``. Workers are
     hash classes of (doc_id, start block), so that one document with a third of
     all ids is spread too; their number follows the number of documents,
     ``n_docs`` if the caller knows it (counting pieces makes them once more).
@@ -221,11 +221,15 @@ def harmonic_pack(pieces: DataFrame, capacity: int = 2048, worker_docs: int = WO
     spread = F.pmod(F.xxhash64("doc_id", F.floor(F.col("start") / F.lit(64 * capacity))), F.lit(workers))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "length"], kind="stable", ignore_index=True)
-        bins, rows["offset"] = fill_bins(rows["length"].to_numpy(np.int64), capacity)
-        rows["sequence_id"] = (rows.pop("_worker").to_numpy(np.int64) << 40) + bins
-        return rows
-
-    return pieces.withColumn("_worker", spread).groupBy("_worker").applyInPandas(
+    def fill(rows: pa.Table) -> pa.Table:
+        # Only lengths are sorted; the ids stay where they are.
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("doc_id", "start", "length", "doc_tokens")]).to_numpy()
+        found, places = fill_bins(rows.column("length").to_numpy()[order], capacity)
+        bins, offsets = np.empty_like(found), np.empty_like(places)
+        bins[order], offsets[order] = found, places
+        sequences = (rows.column("_worker").to_numpy().astype(np.int64) << 40) + bins
+        rows = rows.drop_columns(["_worker"])
+        return rows.append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets))
+
+    return pieces.withColumn("_worker", spread).groupBy("_worker").applyInArrow(
         fill, schema + ", sequence_id long, offset long")
