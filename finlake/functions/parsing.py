@@ -38,11 +38,34 @@ def parse_amount(c: Column | str) -> Column:
 
 def _iso(s: Column, marks: str, month_first: bool) -> Column:
     """Text with a leading ``aa?bb?yyyy`` in ISO order; any other text unchanged."""
-    return F.regexp_replace(s, rf"^(\d\d)([{marks}])(\d\d)\2(\d{{4}})", "$4-$1-$3" if month_first else "$4-$3-$1")
+    return F.regexp_replace(s, rf"^(\d\d?)([{marks}])(\d\d?)\2(\d{{4}})", "$4-$1-$3" if month_first else "$4-$3-$1")
+
+
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_CLOCK = r"(?i)^(.*?)(\d\d?)(:\d\d(?::\d\d)?) ?([ap])\.?m\.?$"
+
+
+def _named_month(s: Column) -> Column:
+    """``Jan 5 2026``, ``January 5, 2026`` and ``5 Jan 2026`` in ISO order; any other text unchanged."""
+    out = s
+    for i, name in enumerate(_MONTHS, 1):
+        out = F.regexp_replace(out, rf"(?i)^{name}[a-z]*\.? (\d\d?),? (\d{{4}})", f"$2-{i:02d}-$1")
+        out = F.regexp_replace(out, rf"(?i)^(\d\d?)[ -]{name}[a-z]*\.?,?[ -](\d{{4}})", f"$2-{i:02d}-$1")
+    return F.when(s.rlike("(?i)[a-z]{3}"), out).otherwise(s)
+
+
+def _twelve_hours(s: Column) -> Column:
+    """A closing AM or PM clock as hours of the day; any other text unchanged."""
+    hour = F.regexp_extract(s, _CLOCK, 2).try_cast("int")
+    day_hour = F.pmod(hour, F.lit(12)) + F.when(F.lower(F.regexp_extract(s, _CLOCK, 4)) == "p", 12).otherwise(0)
+    return F.when(s.rlike(_CLOCK) & hour.between(1, 12), F.concat(
+        F.regexp_extract(s, _CLOCK, 1), day_hour.cast("string"), F.regexp_extract(s, _CLOCK, 3))).otherwise(s)
 
 
 def parse_ts(c: Column | str, day_first: bool = False) -> Column:
-    """Read ISO text with a blank or a T, ``MM/dd/yyyy HH:mm`` and dashed dates with a time.
+    """Read ISO text with a blank or a T, month-first dates with slashes, dashed dates, year-first slashes and month names.
+
+    Fields may have one digit, and the clock AM or PM.
 
     ``05-01-2026`` is ambiguous. The default takes the month first and falls
     back to the day when that is impossible, which is what a lenient date
@@ -51,7 +74,8 @@ def parse_ts(c: Column | str, day_first: bool = False) -> Column:
     The text is rearranged to ISO order and cast: the cast is many times
     faster than pattern parsers, above all on text they reject.
     """
-    s = squash(c)
+    s = _twelve_hours(_named_month(squash(c)))
+    s = F.regexp_replace(s, r"^(\d{4})/(\d\d?)/(\d\d?)", "$1-$2-$3")
     usual = _iso(_iso(s, "/", True), "-", not day_first)
     other = _iso(_iso(s, "/", False), "-", day_first)
     return F.coalesce(usual.try_cast("timestamp"), other.try_cast("timestamp"))

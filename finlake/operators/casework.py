@@ -86,14 +86,15 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
 def account_history(tx: DataFrame, accounts: DataFrame, n: int = 15) -> DataFrame:
     """The ``n`` newest transactions of each selected account.
 
-    The rank filter is applied map-side before the shuffle, so a hot account
-    ships ``n`` rows per task.
+    The ranks come first: their filter is applied map-side before the shuffle,
+    so a hot account ships ``n`` rows per task, and what the selection then
+    joins is ``n`` rows per account.
     """
     newest = Window.partitionBy("account_id").orderBy(F.desc("ts"), F.desc("transaction_id"))
     return (
-        tx.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
-        .withColumn("rn", F.row_number().over(newest))
+        tx.withColumn("rn", F.row_number().over(newest))
         .where(F.col("rn") <= n)
+        .join(accounts.select("account_id").distinct(), "account_id", "left_semi")
         .select("account_id", "rn", "transaction_id", "ts", "amount", "transaction_type", "origin_country",
                 "destination_country")
     )

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlake.functions.numeric import exact_avg, exact_sum, portable_round
 from finlake.functions.parsing import parse_date
 
 # Model features, search grid and seed.
@@ -23,7 +24,6 @@ GRID = {"n_estimators": (50, 100), "max_depth": (3, 5), "learning_rate": (0.05,
 SEED = 42
 LABEL = "revenue_sum"
 # Decimals kept in sums of hourly rates.
-RATE_DIGITS = 6
 
 
 def strip_names(df: DataFrame) -> DataFrame:
@@ -62,11 +62,11 @@ def monthly_features(df: DataFrame) -> DataFrame:
     return (
         lines.groupBy("customer", "year_month")
         .agg(
-            F.coalesce(exact_sum("price"), F.lit(0.0)).alias("revenue_sum"),
-            portable_round(exact_avg("price")).alias("revenue_mean"),
-            portable_round(F.coalesce(F.stddev_samp("price"), F.lit(0.0))).alias("revenue_std"),
-            F.coalesce(exact_sum("hours"), F.lit(0.0)).alias("hours_sum"),
-            portable_round(exact_avg("rate", RATE_DIGITS)).alias("billingrate_mean"),
+            F.coalesce(F.sum("price"), F.lit(0.0)).alias("revenue_sum"),
+            F.avg("price").alias("revenue_mean"),
+            F.coalesce(F.stddev_samp("price"), F.lit(0.0)).alias("revenue_std"),
+            F.coalesce(F.sum("hours"), F.lit(0.0)).alias("hours_sum"),
+            F.avg("rate").alias("billingrate_mean"),
             F.countDistinct("project").alias("project_count"),
         )
         .withColumns({"month": F.month("year_month"), "quarter": F.quarter("year_month")})
@@ -136,7 +136,7 @@ def expanding_folds(df: DataFrame, folds: int = 3, col: str = "year_month") -> l
     return out
 
 
-def time_series_cv(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 3) -> DataFrame:
+def time_series_cv(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 3, parallelism: int = 8) -> DataFrame:
     """Mean validation RMSE per grid point, best first.
 
     A boosted model contains all its shorter prefixes, so only the largest
@@ -144,17 +144,31 @@ def time_series_cv(df: DataFrame, grid: dict[str, Sequence] | None = None, folds
     """
     grid = grid or GRID
     sizes = sorted(grid["n_estimators"])
+    spark = df.sparkSession
+    work = [(train, valid, depth, step) for train, valid in expanding_folds(df, folds)
+            for depth, step in product(grid["max_depth"], grid["learning_rate"])]
+
+    def fit(train: DataFrame, valid: DataFrame, depth: int, step: float) -> list[float]:
+        model = fit_revenue(train, sizes[-1], depth, step)
+        return model.evaluateEachIteration(_assembled(valid), "squared")
+
+    # Boosting is a chain of short jobs; the fits are independent and share the executors.
+    with ThreadPoolExecutor(parallelism) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(fit), *w) for w in work]
     scores: dict[tuple, list[float]] = {}
-    for train, valid in expanding_folds(df, folds):
-        checked = _assembled(valid)
-        for depth, step in product(grid["max_depth"], grid["learning_rate"]):
-            model = fit_revenue(train, sizes[-1], depth, step)
-            losses = model.evaluateEachIteration(checked, "squared")
-            for size in sizes:
-                scores.setdefault((size, depth, step), []).append(math.sqrt(losses[size - 1]))
+    for (_, _, depth, step), losses in zip(work, waiting):
+        for size in sizes:
+            scores.setdefault((size, depth, step), []).append(math.sqrt(losses.result()[size - 1]))
     rows = [(int(n), int(d), float(s), sum(v) / len(v)) for (n, d, s), v in scores.items()]
     schema = "n_estimators int, max_depth int, learning_rate double, rmse double"
-    return df.sparkSession.createDataFrame(rows, schema).orderBy("rmse")
+    return spark.createDataFrame(rows, schema).orderBy("rmse", "n_estimators", "max_depth", "learning_rate")
+
+
+def fit_best(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 3) -> tuple[GBTRegressionModel, DataFrame]:
+    """Search the grid by expanding folds, then fit all of ``df`` with the best point; the model and the scores."""
+    scores = time_series_cv(df, grid, folds)
+    best = scores.first()
+    return fit_revenue(df, best["n_estimators"], best["max_depth"], best["learning_rate"]), scores
 
 
 def score_forecast(preds: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:

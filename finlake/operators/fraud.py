@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finlake.functions.numeric import exact_avg, pct, portable_round, ratio
+from finlake.functions.numeric import pct, portable_round, ratio
 from finlake.operators.ordered import global_ntile
 from finlake.operators.rules import SCREENED_TYPES, is_emptied, is_large, is_mismatched
 
@@ -23,7 +23,7 @@ def fraud_rate(df: DataFrame, by: str = "transaction_type") -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("total_transactions"),
             _ints("is_fraud").alias("fraud_cases"),
-            portable_round(exact_avg("amount")).alias("avg_transaction_amount"),
+            portable_round(F.avg("amount")).alias("avg_transaction_amount"),
         )
         .withColumn("fraud_rate_pct", pct("fraud_cases", "total_transactions"))
         .orderBy(F.desc("fraud_rate_pct"), by)
@@ -75,7 +75,7 @@ def amount_screen(df: DataFrame, percentile: int = 90, mult: float = 2.0,
     """
     rows = df.where(F.col("transaction_type").isin(*types)).select("transaction_id", "transaction_type", "amount", "is_fraud")
     # One row per listed type, so the broadcast side is bounded by len(types).
-    means = F.broadcast(rows.groupBy("transaction_type").agg(exact_avg("amount").alias("_mean")))
+    means = F.broadcast(rows.groupBy("transaction_type").agg(F.avg("amount").alias("_mean")))
     ranked = global_ntile(rows, 100, order=("amount", "transaction_id"), by=("transaction_type",), name="amount_percentile")
     return (
         ranked.where(F.col("amount_percentile") >= percentile)

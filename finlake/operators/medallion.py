@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finlake.functions.bands import age_group, credit_band, wealth_tier
-from finlake.functions.numeric import exact_avg, pct, portable_round
+from finlake.functions.numeric import pct, portable_round
 
 # Source names with spaces, unused columns, product indicators.
 SILVER_NAMES = {
@@ -17,8 +17,6 @@ SILVER_NAMES = {
 }
 UNUSED = ("RowNumber", "Surname")
 PRODUCTS = ("EmergingMarketFund", "RealEstate", "PrivateEquity", "GovtBonds", "CorpBonds", "ETF_Tech", "ETF_Health", "ETF_Med")
-# Rates such as returns keep six decimals in the exact sums.
-FINE = 6
 
 
 def to_silver_names(df: DataFrame) -> DataFrame:
@@ -65,24 +63,24 @@ def _churned(name: str = "total_churned") -> Column:
 def gold_wealth_tiers(df: DataFrame) -> DataFrame:
     return df.groupBy("WealthTier").agg(
         _n(),
-        exact_avg("Net_Assets").alias("avg_net_assets"),
-        exact_avg("Portfolio_Return", FINE).alias("avg_portfolio_return"),
-        exact_avg("CreditScore").alias("avg_credit_score"),
-        exact_avg("InvestmentCount").alias("avg_investments_held"),
-        exact_avg("EstimatedSalary").alias("avg_salary"),
+        F.avg("Net_Assets").alias("avg_net_assets"),
+        F.avg("Portfolio_Return").alias("avg_portfolio_return"),
+        F.avg("CreditScore").alias("avg_credit_score"),
+        F.avg("InvestmentCount").alias("avg_investments_held"),
+        F.avg("EstimatedSalary").alias("avg_salary"),
         _churned(),
-        exact_avg("Diversification", FINE).alias("avg_diversification"),
+        F.avg("Diversification").alias("avg_diversification"),
     ).orderBy(F.desc("avg_net_assets"))
 
 
 def gold_age_groups(df: DataFrame) -> DataFrame:
     return df.groupBy("AgeGroup").agg(
         _n(),
-        exact_avg("Net_Assets").alias("avg_net_assets"),
-        exact_avg("Portfolio_Return", FINE).alias("avg_return"),
-        exact_avg("InvestmentCount").alias("avg_investments"),
-        exact_avg("Risk_Profile", FINE).alias("avg_risk_profile"),
-        exact_avg("ForeignAssets").alias("avg_foreign_assets"),
+        F.avg("Net_Assets").alias("avg_net_assets"),
+        F.avg("Portfolio_Return").alias("avg_return"),
+        F.avg("InvestmentCount").alias("avg_investments"),
+        F.avg("Risk_Profile").alias("avg_risk_profile"),
+        F.avg("ForeignAssets").alias("avg_foreign_assets"),
         _churned(),
     ).orderBy("AgeGroup")
 
@@ -90,12 +88,12 @@ def gold_age_groups(df: DataFrame) -> DataFrame:
 def gold_countries(df: DataFrame) -> DataFrame:
     return df.groupBy("Country", "WealthTier").agg(
         _n(),
-        exact_avg("Net_Assets").alias("avg_net_assets"),
-        exact_avg("Portfolio_Return", FINE).alias("avg_return"),
-        exact_avg("CreditScore").alias("avg_credit_score"),
-        exact_avg("NumProducts").alias("avg_products_held"),
+        F.avg("Net_Assets").alias("avg_net_assets"),
+        F.avg("Portfolio_Return").alias("avg_return"),
+        F.avg("CreditScore").alias("avg_credit_score"),
+        F.avg("NumProducts").alias("avg_products_held"),
         _churned(),
-        exact_avg("EstimatedSalary").alias("avg_salary"),
+        F.avg("EstimatedSalary").alias("avg_salary"),
     ).orderBy("Country", F.desc("avg_net_assets"))
 
 
@@ -137,10 +135,10 @@ def country_report(gold: DataFrame) -> DataFrame:
 def credit_band_report(df: DataFrame) -> DataFrame:
     return df.groupBy("CreditBand").agg(
         _n(),
-        portable_round(exact_avg("Net_Assets"), 0).alias("avg_net_assets"),
-        portable_round(exact_avg("Portfolio_Return", FINE) * 100).alias("avg_return_pct"),
-        portable_round(exact_avg("CreditScore"), 0).alias("avg_credit_score"),
-        portable_round(exact_avg("InvestmentCount"), 1).alias("avg_investments"),
+        portable_round(F.avg("Net_Assets"), 0).alias("avg_net_assets"),
+        portable_round(F.avg("Portfolio_Return") * 100).alias("avg_return_pct"),
+        portable_round(F.avg("CreditScore"), 0).alias("avg_credit_score"),
+        portable_round(F.avg("InvestmentCount"), 1).alias("avg_investments"),
         _churned(),
     ).orderBy(F.desc("avg_credit_score"))
 
@@ -160,7 +158,7 @@ def churn_profiles(df: DataFrame, min_n: int = 10, k: int = 15) -> DataFrame:
     keys = ("WealthTier", "AgeGroup", "CreditBand", "Country")
     return (
         df.groupBy(*keys)
-        .agg(_n(), _churned("churned"), portable_round(exact_avg("Net_Assets"), 0).alias("avg_net_assets"))
+        .agg(_n(), _churned("churned"), portable_round(F.avg("Net_Assets"), 0).alias("avg_net_assets"))
         .where(F.col("total_customers") > min_n)
         .withColumn("churn_rate_pct", pct("churned", "total_customers", 1))
         .orderBy(F.desc("churn_rate_pct"), *keys)
@@ -173,5 +171,5 @@ def product_mix(df: DataFrame, products: Sequence[str] = PRODUCTS) -> DataFrame:
     # Report column names.
     names = ("pct_emerging_market", "pct_real_estate", "pct_private_equity", "pct_govt_bonds", "pct_corp_bonds",
              "pct_etf_tech", "pct_etf_health", "pct_etf_med")
-    shares = [portable_round(exact_avg(p) * 100, 1).alias(n) for p, n in zip(products, names, strict=True)]
+    shares = [portable_round(F.avg(p) * 100, 1).alias(n) for p, n in zip(products, names, strict=True)]
     return df.groupBy("WealthTier").agg(*shares).orderBy("WealthTier")

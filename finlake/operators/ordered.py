@@ -4,7 +4,7 @@ A window without partition, or with a hot partition key, runs in one task.
 The three operators here give the same exact results with bounded tasks:
 
 * ``global_ntile`` sorts by range over all tasks and adds per-slice offsets;
-* ``exact_quantiles`` finds the value at a rank through value buckets;
+* ``exact_quantiles`` finds the value at a rank through ranges of values;
 * ``with_next`` cuts each key into time slices and hands every slice the first
   row of the following one.
 """
@@ -16,8 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlake.operators.skew import HOT_MIN_ROWS, HOT_SHARE, hot_keys
-from finlake.session import BROADCAST_ROWS, materialise
+from finlake.session import materialise
 
 _SLICE_BITS = 33
 
@@ -38,7 +37,7 @@ def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> Da
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_row", _SLICE_BITS))
     )
-    # One row per (group, slice): far fewer than rows, but checked before it is broadcast.
+    # One row per (group, slice): adaptive execution sees its size and broadcasts it if it may.
     slices = ordered.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     group = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,8 +46,6 @@ def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> Da
         .withColumn("_size", F.sum("_n").over(group))
         .drop("_n")
     )
-    if slices.count() <= BROADCAST_ROWS:
-        slices = F.broadcast(slices)
     left, right = ordered.alias("l"), slices.alias("r")
     same = F.col("l._slice") == F.col("r._slice")
     for c in by:
@@ -79,22 +76,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """Exact interpolated quantiles per non-null key: columns keys, ``prob``, ``quantile``, ``n``.
 
     An exact percentile aggregate keeps all distinct values of a key in one
-    buffer. Here values are counted per (key, value), then per (key, bucket)
-    where a bucket is 1/32 of an octave; a key has few buckets, so a running
-    count finds the bucket of each wanted rank, and only those buckets are
-    looked at value by value.
+    buffer. Here values are counted per (key, value) and range-partitioned by
+    both, so a slice holds its even share of the values, whatever the key or
+    their spread. A running count over the slices of a key finds the slice of
+    each wanted rank, and only those are looked at value by value.
     """
     keys = list(keys)
     v = F.col(value)
     present = v.isNotNull() & ~F.isnan(v.cast("double"))
     for k in keys:
         present = present & F.col(k).isNotNull()
-    # Both uses of the counts see the same filters and columns, so the second reuses the exchange of the first.
-    counts = (
+    counts = materialise(
         df.where(present)
         .groupBy(*keys, v.cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.coalesce(F.floor(F.signum("_v") * F.log2(F.lit(1.0) + F.abs("_v")) * 32), F.lit(0)))
+        .repartitionByRange(*keys, "_v")
+        .withColumn("_b", F.spark_partition_id())
     )
     per_key = Window.partitionBy(*keys)
     buckets = (
@@ -134,26 +131,19 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 
 
 def with_next(df: DataFrame, key: str, seconds: str, tiebreak: str, cols: Sequence[str], horizon: int,
-              share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS, name: str = "next") -> DataFrame:
+              slice_seconds: int = 60, name: str = "next") -> DataFrame:
     """Attach the following row of the same key, as struct ``next`` of ``cols``.
 
     Exact for following rows at most ``horizon`` seconds away; farther ones
     may be null. Ordering is (``seconds``, ``tiebreak``).
 
-    Each key is cut into day slices, hot keys into slices of one second. The
-    first row of a slice is handed to the slice before it as a context row, so
-    a single window over (key, slice) sees every neighbour.
+    Each key is cut into slices of ``slice_seconds``, whatever its number of
+    rows. The first row of a slice is handed to the slice before it as a
+    context row, so a single window over (key, slice) sees every neighbour;
+    what meets in one task is bounded by the calendar, not by the key.
     """
     span = max(86400, horizon)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    # Counted once although both the heads and the rows below look it up; see hot_keys for its size.
-    hot = F.broadcast(materialise(hot_keys(counts, [key], "_n", share, min_rows).withColumn("_hot", F.lit(True))))
-    day = F.floor(F.col(seconds) / span) * span
-    sliced = (
-        df.join(hot, key, "left")
-        .withColumn("_slice", F.when(F.col("_hot"), F.col(seconds)).otherwise(day))
-        .drop("_hot")
-    )
+    sliced = df.withColumn("_slice", F.floor(F.col(seconds) / slice_seconds) * slice_seconds)
     row = F.struct(F.col(seconds).alias("_s"), F.col(tiebreak).alias("_t"), F.struct(*cols).alias("_c"))
     heads = sliced.groupBy(key, "_slice").agg(F.min(row).alias("_head"))
     heads = heads.withColumn("_span", (F.floor(F.col("_slice") / span) * span))

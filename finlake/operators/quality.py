@@ -51,13 +51,13 @@ def dedup_first(df: DataFrame, key: str, order: str, count: str | None = None) -
 
 
 def flag_outliers(df: DataFrame, mult: float = 8.0, floor: float = 5000.0, account: str = "account_id",
-                  amount: str = "amount", row_id: str = "transaction_id") -> DataFrame:
+                  amount: str = "amount") -> DataFrame:
     """Add ``amount_outlier_flag``: above ``mult`` medians of the account and above ``floor``.
 
     The median is exact and interpolated over all rows with an amount.
     """
     medians = exact_median(df, [account], amount, "_median")
-    joined = attach(df, medians, [account], "n", spread=row_id, how="left")
+    joined = attach(df, medians.drop("n"), [account], how="left")
     test = (F.col("_median") > 0) & (F.col(amount) > F.col("_median") * mult) & (F.col(amount) > floor)
     return joined.withColumn("amount_outlier_flag", F.coalesce(test, F.lit(False))).drop("_median")
 

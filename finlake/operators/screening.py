@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from finlake.functions.numeric import exact_sum, portable_round
+from finlake.functions.numeric import portable_round
 from finlake.operators.ordered import with_next
 from finlake.operators.skew import attach
 
@@ -42,18 +42,17 @@ def rule_structuring(tx: DataFrame, limit: float = REPORTING_LIMIT, min_n: int =
     """Every deposit of an account-day whose small deposits reach ``limit`` together.
 
     The day totals are an aggregate (combined map-side) joined back to the
-    deposits, with hot account-days salted; a window would put a whole
-    account-day into one task.
+    deposits; a window would put a whole account-day into one task.
     """
     deposits = tx.where((F.col("transaction_type") == "cash_deposit") & (F.col("amount") < limit)).select(
         "transaction_id", "account_id", F.to_date("ts").alias("day"), "amount")
     days = (
         deposits.groupBy("account_id", "day")
-        .agg(exact_sum("amount").alias("day_total"), F.count(F.lit(1)).alias("n"))
+        .agg(portable_round(F.sum("amount"), 6).alias("day_total"), F.count(F.lit(1)).alias("n"))
         .where((F.col("day_total") >= limit) & (F.col("n") >= min_n))
-        .withColumn("day_count", F.col("n"))
+        .withColumnRenamed("n", "day_count")
     )
-    hits = attach(deposits.drop("amount"), days, ["account_id", "day"], "n", spread="transaction_id")
+    hits = attach(deposits.drop("amount"), days, ["account_id", "day"])
     detail = F.concat(
         F.col("day_count").cast("string"), F.lit(" cash deposits on "), F.col("day").cast("string"),
         F.lit(" for account "), F.col("account_id"), F.lit(" totalling "), _money("day_total"),
@@ -84,9 +83,9 @@ def rule_velocity(tx: DataFrame, seconds: int = 3600, min_n: int = 6) -> DataFra
     busy = (
         blocks.withColumn("tx_count", F.sum("n").over(trailing))
         .where(F.col("_own") & (F.col("tx_count") >= min_n))
-        .select("account_id", "sec", "n", "tx_count")
+        .select("account_id", "sec", "tx_count")
     )
-    hits = attach(keyed, busy, ["account_id", "sec"], "n", spread="transaction_id")
+    hits = attach(keyed, busy, ["account_id", "sec"])
     detail = F.concat(
         F.col("tx_count").cast("string"), F.lit(" transactions of account "), F.col("account_id"),
         F.lit(f" within {seconds} seconds"),
@@ -109,8 +108,7 @@ def rule_high_risk_geo(tx: DataFrame, codes: Sequence[str] = HIGH_RISK_COUNTRIES
     return _flag(hits, "high_risk_geo", detail)
 
 
-def rule_layering(tx: DataFrame, hours: float = 3, tol: float = 0.08, floor: float = 3000.0,
-                  **skew) -> DataFrame:
+def rule_layering(tx: DataFrame, hours: float = 3, tol: float = 0.08, floor: float = 3000.0) -> DataFrame:
     """Money in, followed by nearly the same amount out as the account's next movement.
 
     Card payments are no part of the sequence. Both legs are flagged, so a
@@ -120,7 +118,7 @@ def rule_layering(tx: DataFrame, hours: float = 3, tol: float = 0.08, floor: flo
         "transaction_id", "account_id", "transaction_type", "amount", _seconds().alias("sec"))
     horizon = int(hours * 3600)
     pairs = with_next(moves, "account_id", "sec", "transaction_id", ("transaction_id", "transaction_type", "amount", "sec"),
-                      horizon=horizon, **skew)
+                      horizon=horizon)
     gap = F.col("next.sec") - F.col("sec")
     hits = pairs.where(
         F.col("transaction_type").isin(*IN_TYPES)

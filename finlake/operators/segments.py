@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finlake.functions.bands import DORMANT_DAYS, dormancy, marketing_age_band, util_band
-from finlake.functions.numeric import exact_avg, pct, portable_round, ratio
+from finlake.functions.numeric import pct, portable_round, ratio
 from finlake.operators.ordered import global_ntile
 
 # Profit proxy coefficients.
@@ -66,8 +66,8 @@ def profit_by(cards: DataFrame, by: Column | str, name: str) -> DataFrame:
     key = F.col(by) if isinstance(by, str) else by
     return cards.groupBy(key.alias(name)).agg(
         F.count(F.lit(1)).alias("customers"),
-        portable_round(exact_avg("annual_profit")).alias("avg_profit"),
-        portable_round(exact_avg("util_ratio", 3) * 100).alias("avg_util_pct"),
+        portable_round(F.avg("annual_profit")).alias("avg_profit"),
+        portable_round(F.avg("util_ratio") * 100).alias("avg_util_pct"),
     )
 
 

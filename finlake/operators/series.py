@@ -7,17 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlake.functions.numeric import exact_avg, pct, portable_round, ratio
+from finlake.functions.numeric import pct, portable_round, ratio
 
 
 def to_monthly(df: DataFrame) -> DataFrame:
     """Mean price per series and calendar month."""
-    return df.groupBy("metal", F.trunc("date", "MM").alias("month")).agg(exact_avg("price").alias("price"))
+    return df.groupBy("metal", F.trunc("date", "MM").alias("month")).agg(F.avg("price").alias("price"))
 
 
 def yearly_avg(df: DataFrame) -> DataFrame:
     return df.groupBy("metal", F.year("date").alias("year")).agg(
-        portable_round(exact_avg("price")).alias("avg_price"))
+        portable_round(F.avg("price")).alias("avg_price"))
 
 
 def date_slice(df: DataFrame, lo: str, hi: str, col: str = "date") -> DataFrame:
@@ -38,7 +38,7 @@ def merge_feeds(feeds: Sequence[tuple[DataFrame, str, int]]) -> DataFrame:
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    monthly = union.groupBy("metal", F.trunc("date", "MM").alias("month"), "priority").agg(exact_avg("price").alias("price"))
+    monthly = union.groupBy("metal", F.trunc("date", "MM").alias("month"), "priority").agg(F.avg("price").alias("price"))
     return monthly.groupBy("metal", "month").agg(
         F.max_by("price", "priority").alias("price"), F.max("priority").alias("priority"))
 
@@ -48,7 +48,7 @@ def price_ratio(df: DataFrame, num: str = "Gold", den: str = "Silver") -> DataFr
 
     The two series are columns of one aggregate, so aligning them needs no join.
     """
-    by_series = [exact_avg(F.when(F.col("metal") == m, F.col("price"))).alias(f"_{i}") for i, m in enumerate((num, den))]
+    by_series = [F.avg(F.when(F.col("metal") == m, F.col("price"))).alias(f"_{i}") for i, m in enumerate((num, den))]
     return (
         df.where(F.col("metal").isin(num, den))
         .groupBy(F.trunc("date", "MM").alias("month"))

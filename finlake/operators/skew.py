@@ -1,8 +1,9 @@
-"""Hot-key handling.
+"""Joins of per-key results back to the rows.
 
 One account, customer or day may hold a large part of all rows. Aggregates
-combine map-side and need no help; what needs help is joining per-key results
-back to the rows of a hot key, because those rows hash to one task.
+combine map-side. The join back hashes the rows of a hot key to one task,
+which adaptive execution splits: both sides come straight from a shuffle, and
+nothing behind the join needs the key's rows together before the next one.
 """
 
 from __future__ import annotations
@@ -12,43 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finlake.session import materialise
 
-HOT_SHARE = 0.00001
-HOT_MIN_ROWS = 1_000_000
-SALTS = 256
+def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-key results to ``rows``; ``lookup`` has one row per key.
 
-
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_SHARE,
-             min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys holding more than ``share`` of all rows.
-
-    ``counts`` has one row per key with its row count in ``n``. At most
-    ``1 / share`` keys can pass, which is the proof that the result may be
-    broadcast whatever the size of the data.
-    """
-    total = counts.agg(F.sum(n)).scalar()
-    return counts.where((F.col(n) >= min_rows) & (F.col(n) > total * F.lit(share))).select(*keys)
-
-
-def attach(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], n: str, spread: str, how: str = "inner",
-           share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join per-key results back to ``rows`` without one task per hot key.
-
-    ``lookup`` has one row per key; its column ``n`` tells how many of
-    ``rows`` carry the key and is dropped. Rows of hot keys are spread over
-    ``salts`` sub-keys by a hash of the column ``spread`` (deterministic, so a
-    retried task makes the same choice) and only the hot lookup rows are
-    copied once per sub-key. Keys of ``lookup`` must not be null.
-
-    The lookup is checkpointed: it is read for the hot keys and for the join,
-    and the aggregate behind it should scan the rows once, not once per use.
+    Rows with a null key match nothing. In a left join they stay out of the
+    shuffle, where they would all meet in one task, and are put back with nulls.
     """
     keys = list(keys)
-    lookup = materialise(lookup)
-    hot = F.broadcast(hot_keys(lookup, keys, n, share, min_rows).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    right = lookup.drop(n).join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    joined = rows.where(known).join(lookup.where(known), keys, how)
+    if how != "left":
+        return joined
+    return joined.unionByName(rows.where(~known), allowMissingColumns=True)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +19,9 @@ OVERLAP = 50
 SEPARATORS = ("\n\n", "\n", " ", "")
 NEIGHBOURS = 4
 LAST_MESSAGES = 6
-# Queries answered by one pass over the vectors, and vectors compared at a time in a task.
-QUERIES_PER_PASS = 1024
-VECTORS_PER_STEP = 2048
+# Queries and vectors, on average, that one matrix product compares.
+QUERIES_PER_BATCH = 1024
+VECTORS_PER_BLOCK = 4096
 
 
 def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, key: str = "doc_id",
@@ -105,59 +105,70 @@ def build_index(chunks: DataFrame, path: str | None = None) -> tuple[DataFrame,
     return table, table.count()
 
 
-def _distances(block: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "l2":
-        return np.sqrt(((block - query) ** 2).sum(axis=1))
-    norms = np.linalg.norm(block, axis=1) * np.linalg.norm(query)
-    return 1.0 - (block @ query) / norms
-
-
-def _nearest(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, metric: str, schema: str) -> DataFrame:
-    """The ``k`` best vectors of each partition for each query of the pass."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [(np.empty(0), np.empty(0, dtype=object)) for _ in ids]
-        for batch in batches:
-            for start in range(0, len(batch), VECTORS_PER_STEP):
-                part = batch.iloc[start:start + VECTORS_PER_STEP]
-                block = np.stack(part["embedding"].to_numpy()).astype("float64")
-                names = part["vec_id"].to_numpy()
-                for q, query in enumerate(matrix):
-                    dist = np.concatenate([best[q][0], _distances(block, query, metric)])
-                    name = np.concatenate([best[q][1], names])
-                    if len(dist) > k:
-                        # Everything up to the k-th distance, so ties are settled by id below.
-                        near = dist <= np.partition(dist, k - 1)[k - 1]
-                        dist, name = dist[near], name[near]
-                    order = np.lexsort((name.astype(names.dtype), dist))[:k]
-                    best[q] = (dist[order], name[order])
-        rows = [(ids[q], i, float(d)) for q, (dist, name) in enumerate(best) for d, i in zip(dist, name, strict=True)]
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "dist"])
-
-    return vectors.select("vec_id", "embedding").mapInPandas(run, schema)
+def _distances(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all queries to all vectors of a block, from one matrix product."""
+    dots = queries @ block.T
+    if metric == "cosine":
+        return 1.0 - dots / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :])
+    squares = (queries * queries).sum(axis=1)[:, None] + (block * block).sum(axis=1)[None, :] - 2 * dots
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _nearest(k: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The ``k`` best of one block of vectors for one batch of queries, ties to the smaller id."""
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", queries.schema.field("query_id").type),
+                            ("vec_id", vectors.schema.field("vec_id").type), ("dist", pa.float64())])
+        if not queries.num_rows or not vectors.num_rows:
+            return schema.empty_table()
+        q, v = (np.stack(t.column("embedding").to_numpy()) for t in (queries, vectors))
+        by_name = np.argsort(vectors.column("vec_id").to_numpy(), kind="stable")
+        v = v[by_name]
+        dist = _distances(q, v, metric)
+        last = min(k, len(v)) - 1
+        # All up to the k-th, with room for the digits that the product loses, so ties are settled by id.
+        room = 1e-6 * max(1.0, float(np.abs(v).max()) * v.shape[1], float(np.abs(q).max()) * v.shape[1])
+        who, at = np.nonzero(dist <= np.partition(dist, last, axis=1)[:, last, None] + room)
+        exact = dist[who, at] if metric == "cosine" else np.sqrt(((q[who] - v[at]) ** 2).sum(axis=1))
+        order = np.lexsort((at, exact, who))
+        first = np.searchsorted(who[order], np.arange(len(q)))
+        best = order[np.arange(len(order)) - first[who[order]] < k]
+        return pa.table([queries.column("query_id").take(pa.array(who[best])),
+                         vectors.column("vec_id").take(pa.array(by_name[at[best]])), pa.array(exact[best])], schema=schema)
+
+    return run
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = NEIGHBOURS, metric: str = "l2") -> DataFrame:
     """Exact ``k`` nearest vectors per query: query_id, rank, vec_id, dist.
 
     ``queries`` has query_id and embedding, ``vectors`` vec_id and embedding.
-    A query is a question asked of the store, so queries are taken in passes
-    of fixed size and travel with the tasks. Every task keeps ``k`` rows per
-    query and only those are shuffled; no pair is ever materialised.
+    Both stay tables: vectors are dealt to blocks by a hash of their id, and
+    batches of queries meet each block in one matrix product. Every pair of a
+    batch and a block returns ``k`` rows per query and only those are merged.
+    Null vectors and those of another length than the query are no
+    neighbours; by cosine, zero vectors have no direction and take no part.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric: {metric}")
+
+    def usable(df: DataFrame, name: str) -> DataFrame:
+        df = df.select(name, F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("_dim"))
+        known = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+        if metric == "cosine":
+            known &= F.exists("embedding", lambda x: x != 0)
+        return df.where(known)
+
+    asked, stored = usable(queries, "query_id"), usable(vectors, "vec_id")
+    batches, blocks = -(-asked.count() // QUERIES_PER_BATCH) or 1, -(-stored.count() // VECTORS_PER_BLOCK) or 1
+    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(batches)).alias("_batch"),
+                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    right = stored.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("_block"),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(batches - 1).cast("bigint"))).alias("_batch"))
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
-    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, dist double"
-    rows = queries.select("query_id", "embedding").toLocalIterator()
-    passes = []
-    while block := list(islice(rows, QUERIES_PER_PASS)):
-        matrix = np.array([r["embedding"] for r in block], dtype="float64")
-        passes.append(_nearest(vectors, [r["query_id"] for r in block], matrix, k, metric, schema))
-    if not passes:
-        passes = [vectors.sparkSession.createDataFrame([], schema)]
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
+    key = ("_dim", "_batch", "_block")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
+        _nearest(k, metric), f"query_id {kinds[0]}, vec_id {kinds[1]}, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "dist")

@@ -305,6 +305,17 @@ def _(spark, d):
     return out.withColumns({c: portable_round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+@query("dq4_lenient_layouts", with_views(
+    "SELECT transaction_id, date_trunc('minute', ts) AS ts FROM aml_tx", "aml_tx"))
+def _(spark, d):
+    """Times written with single digits, year-first slashes, month names and AM or PM."""
+    layouts = ("M/d/yyyy H:mm", "yyyy/MM/dd HH:mm", "MMM d yyyy HH:mm", "MM/dd/yyyy h:mm a", "MMMM d, yyyy HH:mm", "d MMM yyyy h:mm a")
+    tx = aml_tx(spark, d)
+    which = F.pmod(F.substring("transaction_id", 4, 20).cast("bigint"), F.lit(len(layouts)))
+    written = F.element_at(F.array(*[F.date_format("ts", x) for x in layouts]), which.cast("int") + 1)
+    return tx.select("transaction_id", parse_ts(written).alias("ts"))
+
+
 @query("pip1_screen")
 def _(spark, d):
     return C.screen(aml_raw(spark, d), ground_truth(spark, d), RULES)["metrics"]

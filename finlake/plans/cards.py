@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finlake.functions.bands import dormancy, marketing_age_band, util_band
 from finlake.operators import segments as S
-from finlake.plans.oracle_views import avg, pct, pr, with_views
+from finlake.plans.oracle_views import pct, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import bank_marketing, credit_cards
 from finlake.sources.profile import describe_all, row_counts
@@ -40,7 +40,7 @@ def _txt(c: str) -> str:
     " UNION ALL ".join([_num("custkey"), _num("age"), _num("pdays"), _txt("job"), _txt("y")]), "bank_marketing"))
 def _(spark, d):
     out = describe_all(bank_marketing(spark, d))
-    return out.withColumns({p: S.portable_round(p, 4) for p in ("p25", "p50", "p75")})
+    return out.withColumns({p: S.portable_round(p, 4) for p in ("mean", "std", "p25", "p50", "p75")})
 
 
 @query("agg1_response_rate", with_views(
@@ -72,8 +72,8 @@ def _(spark, d):
 
 
 @query("agg5_profit_by_tenure", with_views(
-    f"""SELECT tenure, count(*) AS customers, {pr(avg('annual_profit'))} AS avg_profit,
-    {pr('(' + avg('util_ratio', 3) + '*100)')} AS avg_util_pct FROM cards GROUP BY tenure""", "cards"))
+    f"""SELECT tenure, count(*) AS customers, {pr('avg(annual_profit)')} AS avg_profit,
+    {pr('(avg(util_ratio)*100)')} AS avg_util_pct FROM cards GROUP BY tenure""", "cards"))
 def _(spark, d):
     return S.profit_by_tenure(S.card_enriched(credit_cards(spark, d)))
 
@@ -86,7 +86,7 @@ def _(spark, d):
 
 
 @query("agg7_profit_by_util_band", with_views(
-    f"SELECT {_CARD_UTIL} AS util_band, count(*) AS customers, {pr(avg('annual_profit'))} AS avg_profit FROM cards GROUP BY 1", "cards"))
+    f"SELECT {_CARD_UTIL} AS util_band, count(*) AS customers, {pr('avg(annual_profit)')} AS avg_profit FROM cards GROUP BY 1", "cards"))
 def _(spark, d):
     return S.profit_by_util(S.card_enriched(credit_cards(spark, d)))
 
@@ -121,7 +121,7 @@ def _(spark, d):
 
 @query("win1_profit_vintiles", with_views(
     f"""SELECT CASE WHEN v=20 THEN 'Top 5 %' ELSE 'Bottom 5 %' END AS segment, count(*) AS customers,
-    {pr(avg('annual_profit'))} AS avg_profit, {pr('(' + avg('util_ratio', 3) + '*100)')} AS avg_util_pct
+    {pr('avg(annual_profit)')} AS avg_profit, {pr('(avg(util_ratio)*100)')} AS avg_util_pct
     FROM (SELECT *, ntile(20) OVER (ORDER BY annual_profit NULLS FIRST, cust_id) AS v FROM cards) WHERE v IN (1,20) GROUP BY 1""", "cards"))
 def _(spark, d):
     return S.extreme_segments(S.card_enriched(credit_cards(spark, d)))

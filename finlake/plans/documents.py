@@ -19,6 +19,18 @@ def _(spark, d):
     return text.chunk_recursive(table(spark, d, "documents"))
 
 
+@query("txt1_chunk_checks", """SELECT doc_id, 0::BIGINT AS too_long, 0::BIGINT AS not_in_text, 0::BIGINT AS out_of_order
+    FROM documents WHERE trim(text, ' ' || chr(10)) <> ''""")
+def _(spark, d):
+    """Chunks are short and numbered parts of the text."""
+    docs = table(spark, d, "documents")
+    chunks = text.chunk_recursive(docs).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    return chunks.groupBy("doc_id").agg(
+        F.count_if(F.length("text") > text.CHUNK_SIZE).alias("too_long"),
+        F.count_if(~F.expr("contains(whole, text)")).alias("not_in_text"),
+        (F.max("chunk_no") + 1 - F.count_distinct("chunk_no")).cast("bigint").alias("out_of_order"))
+
+
 @query("txt2_chunk_fixed", _CHUNKS)
 def _(spark, d):
     return text.chunk_fixed(table(spark, d, "documents"))
@@ -30,10 +42,12 @@ def _(spark, d):
     return index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-def _label_centres(vectors, size: int):
-    """One query vector per label: the mean of its vectors."""
-    mean = [portable_round(F.avg(F.col("embedding")[i].cast("double")), 6) for i in range(size)]
-    return vectors.groupBy(F.col("label").alias("query_id")).agg(F.array(*mean).alias("embedding"))
+def _label_centres(vectors):
+    """One query vector per label: the mean of its vectors, as long as they are."""
+    parts = vectors.select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("query_id", "i").agg(portable_round(F.avg(F.col("x").cast("double")), 6).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
+    return means.groupBy("query_id").agg(F.transform(ordered, lambda p: p["m"]).alias("embedding"))
 
 
 def _knn_sql(dist: str) -> str:
@@ -48,13 +62,13 @@ def _knn_sql(dist: str) -> str:
 @query("vec1_joi6_knn", _knn_sql("list_distance(embedding::DOUBLE[], v)"))
 def _(spark, d):
     vectors = table(spark, d, "embeddings")
-    return text.knn(_label_centres(vectors, 64), vectors).withColumn("dist", portable_round("dist", 6))
+    return text.knn(_label_centres(vectors), vectors).withColumn("dist", portable_round("dist", 6))
 
 
 @query("vec1_knn_cosine", _knn_sql("1e0-list_cosine_similarity(embedding::DOUBLE[], v)"))
 def _(spark, d):
     vectors = table(spark, d, "embeddings")
-    return text.knn(_label_centres(vectors, 64), vectors, metric="cosine").withColumn("dist", portable_round("dist", 6))
+    return text.knn(_label_centres(vectors), vectors, metric="cosine").withColumn("dist", portable_round("dist", 6))
 
 
 @query("win8_chat_context", """SELECT conv_id, count(*) AS messages,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from finlake.functions.numeric import portable_round
 from finlake.operators import fraud as B
 from finlake.operators import rules as R
-from finlake.plans.oracle_views import avg, pct, pr, with_views
+from finlake.plans.oracle_views import pct, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import paysim, paysim_from, table
 from finlake.session import new_path
@@ -20,9 +20,9 @@ _R2 = "(amount>200000)"
 _R3 = "(abs((balance_orig_before-balance_orig_after)-amount)>1)"
 _SCREEN = "transaction_type IN ('TRANSFER','CASH_OUT')"
 _REASONS = {
-    "ACCOUNT_EMPTIED": (_R1, 85, "'Account drained from $'||format('{:.2f}', balance_orig_before)||' to $0.00'"),
-    "LARGE_AMOUNT": (_R2, 80, "'Amount $'||format('{:.2f}', amount)||' exceeds $200,000 threshold'"),
-    "BALANCE_MISMATCH": (_R3, 90, "'Balance mismatch on $'||format('{:.2f}', amount)"),
+    "ACCOUNT_EMPTIED": (_R1, 85, "'Nothing is left of a balance of $'||format('{:.2f}', balance_orig_before)"),
+    "LARGE_AMOUNT": (_R2, 80, "'$'||format('{:.2f}', amount)||' is above the screening limit of $200,000'"),
+    "BALANCE_MISMATCH": (_R3, 90, "'The sender''s balance did not fall by the $'||format('{:.2f}', amount)||' booked'"),
 }
 _ALERT_COLS = "transaction_id, account_origin, amount, transaction_type"
 
@@ -42,7 +42,7 @@ def _screened(spark, d):
 
 @query("agg8_fraud_rate", with_views(
     f"""SELECT transaction_type, count(*) AS total_transactions, sum(is_fraud)::BIGINT AS fraud_cases,
-    {pct('sum(is_fraud)', 'count(*)')} AS fraud_rate_pct, {pr(avg('amount'))} AS avg_transaction_amount
+    {pct('sum(is_fraud)', 'count(*)')} AS fraud_rate_pct, {pr('avg(amount)')} AS avg_transaction_amount
     FROM paysim GROUP BY transaction_type""", "paysim"))
 def _(spark, d):
     return B.fraud_rate(paysim(spark, d))
@@ -70,7 +70,7 @@ def rule_scorecard(spark, d):
 @query("win2_amount_screen", with_views(
     f"""SELECT transaction_type, count(*) AS flagged, sum(is_fraud)::BIGINT AS fraud_caught, {pct('sum(is_fraud)', 'count(*)')} AS precision_pct
     FROM (SELECT *, ntile(100) OVER (PARTITION BY transaction_type ORDER BY amount NULLS FIRST, transaction_id) AS p,
-      {pr('(amount/mean)')} AS vs_avg FROM paysim JOIN (SELECT transaction_type, {avg('amount')} AS mean FROM paysim GROUP BY 1) USING (transaction_type)
+      {pr('(amount/mean)')} AS vs_avg FROM paysim JOIN (SELECT transaction_type, avg(amount) AS mean FROM paysim GROUP BY 1) USING (transaction_type)
       WHERE {_SCREEN}) WHERE p>=90 AND vs_avg>1.8e0 GROUP BY transaction_type""", "paysim"))
 def _(spark, d):
     # Order totals are spread too evenly for twice the average; see FIXTURES.md.
@@ -131,18 +131,20 @@ def _(spark, d):
     return B.alerts_per_rule(R.score_transactions(_screened(spark, d)))
 
 
-def _messages(orders):
-    """JSON messages; those of urgent payments are cut off and cannot be parsed."""
+def _messages(orders, break_transfers: bool = False):
+    """JSON messages; those of large payments, and some transfers if wanted, are cut off and cannot be parsed."""
     tx = paysim_from(orders)
     body = F.to_json(F.struct(*tx.columns))
     broken = (F.col("transaction_type") == "PAYMENT") & (F.col("amount") > 400000)
+    if break_transfers:
+        broken = broken | ((F.col("transaction_type") == "TRANSFER") & (F.col("transaction_id").cast("bigint") % 13 == 0))
     return tx.select(F.when(broken, F.lit("{broken")).otherwise(body).alias("value"))
 
 
 @query("src6_src7_fn13_read_events", with_views(
-    f"SELECT * FROM paysim WHERE {_SCREEN}", "paysim"))
+    f"SELECT * FROM paysim WHERE {_SCREEN} AND NOT (transaction_type='TRANSFER' AND transaction_id::BIGINT%13=0)", "paysim"))
 def _(spark, d):
-    return read_events(_messages(table(spark, d, "orders")))
+    return read_events(_messages(table(spark, d, "orders"), break_transfers=True))
 
 
 def _order_stream(spark, d):
@@ -150,17 +152,17 @@ def _order_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
 
 
-def _stored_alerts(spark, d):
-    """Run the alert query over the order stream twice; the second run must add nothing."""
+def _alert_store(spark, d) -> str:
+    """Run the alert query over the order stream twice; the second run must add nothing. Returns the table's path."""
     path, checkpoint = new_path(spark, "alerts"), new_path(spark, "alerts-offsets")
     for _ in range(2):
         A.run_available(A.alert_query(read_events(_messages(_order_stream(spark, d))), path, checkpoint, once=True))
-    return spark.read.parquet(path)
+    return path
 
 
 @query("str1_str2_str4_str5_snk2_alert_stream", with_views(_ALL_ALERTS, "paysim"))
 def _(spark, d):
-    return _stored_alerts(spark, d).drop("detected_at", "created_at", "batch_id")
+    return spark.read.parquet(_alert_store(spark, d)).drop("detected_at", "created_at", "batch_id", "event_month")
 
 
 @query("str7_alert_counters", with_views(
@@ -171,7 +173,8 @@ def _(spark, d):
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(path)
 
-    counts = A.alert_counters(R.score_transactions(read_events(_messages(_order_stream(spark, d)))))
+    store = _alert_store(spark, d)
+    counts = A.alert_counters(spark.readStream.schema(spark.read.parquet(store).schema).parquet(store))
     A.run_available(
         counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finlake.functions.numeric import portable_round
 from finlake.operators import series as P
-from finlake.plans.oracle_views import avg, pct, pr, with_views
+from finlake.plans.oracle_views import pct, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import prices
 
@@ -14,7 +14,7 @@ _MONTH = "date_trunc('month', date)::DATE"
 
 
 @query("agg21_to_monthly", with_views(
-    f"SELECT metal, {_MONTH} AS month, {pr(avg('price'))} AS price FROM prices GROUP BY metal, {_MONTH}", "prices"))
+    f"SELECT metal, {_MONTH} AS month, {pr('avg(price)')} AS price FROM prices GROUP BY metal, {_MONTH}", "prices"))
 def _(spark, d):
     return P.to_monthly(prices(spark, d)).withColumn("price", portable_round("price"))
 
@@ -58,21 +58,21 @@ def _(spark, d):
 @query("win9_monthly_change", with_views(
     f"""SELECT metal, month, price, prev_price, {pct('price-prev_price', 'prev_price')} AS change_pct
     FROM (SELECT *, lag(price) OVER (PARTITION BY metal ORDER BY month) AS prev_price FROM
-      (SELECT metal, {_MONTH} AS month, {pr(avg('price'))} AS price FROM prices GROUP BY metal, {_MONTH}))""", "prices"))
+      (SELECT metal, {_MONTH} AS month, {pr('avg(price)')} AS price FROM prices GROUP BY metal, {_MONTH}))""", "prices"))
 def _(spark, d):
     return P.monthly_change(prices(spark, d))
 
 
 @query("set2_merge_feeds", with_views(
     f"""SELECT metal, month, {pr('arg_max(price, priority)')} AS price, max(priority)::INTEGER AS priority FROM (
-      SELECT metal, {_MONTH} AS month, priority, {avg('price')} AS price FROM (
+      SELECT metal, {_MONTH} AS month, priority, avg(price) AS price FROM (
         SELECT metal, date, price, 1 AS priority FROM prices WHERE date<DATE '1999-06-01'
         UNION ALL SELECT metal, {_MONTH}, price*1.01e0, 2 FROM prices WHERE date>=DATE '1999-01-01') GROUP BY metal, {_MONTH}, priority)
     GROUP BY metal, month""", "prices"))
 def _(spark, d):
     both = prices(spark, d)
     feeds = []
-    for metal in ("Gold", "Silver"):
+    for metal in ("Gold", "Silver", "Platinum"):
         one = both.where(F.col("metal") == metal)
         feeds.append((P.date_slice(one, "1990-01-01", "1999-05-31"), metal, 1))
         late = P.date_slice(one, "1999-01-01", "2100-01-01")

@@ -5,16 +5,14 @@ from __future__ import annotations
 
 def pr(x: str, digits: int = 2) -> str:
     """SQL of ``portable_round``."""
-    return f"(sign({x})*floor(abs({x})*1e{digits}+0.5e0)/1e{digits}+0e0)"
+    scaled = f"(abs({x})*1e{digits})"
+    return (f"(CASE WHEN {scaled}<4503599627370496e0 THEN sign({x})*floor({scaled}+0.5e0+1e-9+{scaled}*1e-12)/1e{digits}+0e0 "
+            f"ELSE ({x})::DOUBLE END)")
 
 
-def money_sum(x: str, digits: int = 2) -> str:
-    """SQL of ``exact_sum``."""
-    return f"(sum((CASE WHEN {x}<0 THEN -1 ELSE 1 END*floor(abs({x})*1e{digits}+0.5e0))::BIGINT)::DOUBLE/1e{digits})"
-
-
-def avg(x: str, digits: int = 2) -> str:
-    return f"({money_sum(x, digits)}/nullif(count({x}),0))"
+def near(sql: str, columns: str, digits: int = 4) -> str:
+    """``sql`` with the last digits of computed columns cut, as ``numeric.rounded`` does."""
+    return f"SELECT * REPLACE ({', '.join(f'{pr(c, digits)} AS {c}' for c in columns.split())}) FROM ({sql})"
 
 
 def pct(a: str, b: str, digits: int = 2) -> str:
@@ -138,7 +136,7 @@ VIEWS["bank_marketing"] = ((), """
 SELECT c_custkey AS custkey, (18+c_custkey%60)::INTEGER AS age, c_mktsegment AS job,
   (CASE WHEN c_custkey%4<>0 THEN 999 ELSE c_custkey%30 END)::INTEGER AS pdays,
   CASE WHEN c_acctbal>7000 THEN 'yes' ELSE 'no' END AS y FROM customer""")
-VIEWS["spend"] = ((), f"SELECT o_custkey, {money_sum('o_totalprice')} AS spend FROM orders GROUP BY o_custkey")
+VIEWS["spend"] = ((), f"SELECT o_custkey, {pr('sum(o_totalprice)')} AS spend FROM orders GROUP BY o_custkey")
 VIEWS["credit_cards"] = (("spend",), f"""
 SELECT 'C'||c_custkey::VARCHAR AS cust_id, c_acctbal AS balance, coalesce(spend,0e0) AS purchases,
   (c_custkey%5)*10e0 AS cash_advance,
@@ -175,24 +173,23 @@ SELECT * EXCLUDE ("RowNumber","Surname","ETF Tech","ETF Health","ETF Med","Risk
   CASE WHEN "Debt">0 THEN "EstimatedSalary"/"Debt" END AS "SalaryToDebtRatio"
 FROM bank_customers WHERE "Age">0 AND "EstimatedSalary">0 AND "CreditScore">0""")
 
-_F = 6
 VIEWS["gold_tiers"] = (("silver",), f"""
-SELECT "WealthTier", count(*) AS total_customers, {avg('"Net_Assets"')} AS avg_net_assets,
-  {avg('"Portfolio_Return"', _F)} AS avg_portfolio_return, {avg('"CreditScore"')} AS avg_credit_score,
-  {avg('"InvestmentCount"')} AS avg_investments_held, {avg('"EstimatedSalary"')} AS avg_salary,
-  sum("Churn")::BIGINT AS total_churned, {avg('"Diversification"', _F)} AS avg_diversification
+SELECT "WealthTier", count(*) AS total_customers, avg("Net_Assets") AS avg_net_assets,
+  avg("Portfolio_Return") AS avg_portfolio_return, avg("CreditScore") AS avg_credit_score,
+  avg("InvestmentCount") AS avg_investments_held, avg("EstimatedSalary") AS avg_salary,
+  sum("Churn")::BIGINT AS total_churned, avg("Diversification") AS avg_diversification
 FROM silver GROUP BY "WealthTier" """)
 VIEWS["gold_ages"] = (("silver",), f"""
-SELECT "AgeGroup", count(*) AS total_customers, {avg('"Net_Assets"')} AS avg_net_assets,
-  {avg('"Portfolio_Return"', _F)} AS avg_return, {avg('"InvestmentCount"')} AS avg_investments,
-  {avg('"Risk_Profile"', _F)} AS avg_risk_profile, {avg('"ForeignAssets"')} AS avg_foreign_assets,
+SELECT "AgeGroup", count(*) AS total_customers, avg("Net_Assets") AS avg_net_assets,
+  avg("Portfolio_Return") AS avg_return, avg("InvestmentCount") AS avg_investments,
+  avg("Risk_Profile") AS avg_risk_profile, avg("ForeignAssets") AS avg_foreign_assets,
   sum("Churn")::BIGINT AS total_churned
 FROM silver GROUP BY "AgeGroup" """)
 VIEWS["gold_countries"] = (("silver",), f"""
-SELECT "Country", "WealthTier", count(*) AS total_customers, {avg('"Net_Assets"')} AS avg_net_assets,
-  {avg('"Portfolio_Return"', _F)} AS avg_return, {avg('"CreditScore"')} AS avg_credit_score,
-  {avg('"NumProducts"')} AS avg_products_held, sum("Churn")::BIGINT AS total_churned,
-  {avg('"EstimatedSalary"')} AS avg_salary
+SELECT "Country", "WealthTier", count(*) AS total_customers, avg("Net_Assets") AS avg_net_assets,
+  avg("Portfolio_Return") AS avg_return, avg("CreditScore") AS avg_credit_score,
+  avg("NumProducts") AS avg_products_held, sum("Churn")::BIGINT AS total_churned,
+  avg("EstimatedSalary") AS avg_salary
 FROM silver GROUP BY "Country", "WealthTier" """)
 
 VIEWS["billing"] = ((), """
@@ -204,9 +201,9 @@ VIEWS["billing_clean"] = (("billing",), """
 SELECT try_strptime(worked,'%d/%m/%Y')::DATE AS day, customer, coalesce(project,'Unknown') AS project, price, hours, rate
 FROM billing WHERE try_strptime(worked,'%d/%m/%Y') IS NOT NULL AND customer IS NOT NULL AND price IS NOT NULL""")
 VIEWS["monthly"] = (("billing_clean",), f"""
-SELECT customer, date_trunc('month', day)::DATE AS year_month, coalesce({money_sum('price')},0e0) AS revenue_sum,
-  {pr(avg('price'))} AS revenue_mean, {pr('coalesce(stddev_samp(price),0e0)')} AS revenue_std,
-  coalesce({money_sum('hours')},0e0) AS hours_sum, {pr(avg('rate', _F))} AS billingrate_mean,
+SELECT customer, date_trunc('month', day)::DATE AS year_month, coalesce(sum(price),0e0) AS revenue_sum,
+  avg(price) AS revenue_mean, coalesce(stddev_samp(price),0e0) AS revenue_std,
+  coalesce(sum(hours),0e0) AS hours_sum, avg(rate) AS billingrate_mean,
   count(DISTINCT project) AS project_count, month(date_trunc('month', day))::INTEGER AS month,
   quarter(date_trunc('month', day))::INTEGER AS quarter
 FROM billing_clean GROUP BY customer, date_trunc('month', day)""")
@@ -216,13 +213,14 @@ SELECT * FROM (SELECT *, lag(revenue_sum,1) OVER w AS revenue_lag_1, lag(revenue
 WHERE revenue_lag_3 IS NOT NULL AND billingrate_mean IS NOT NULL""")
 
 VIEWS["prices"] = ((), """
-SELECT l_shipdate::DATE AS date, l_extendedprice AS price, CASE l_returnflag WHEN 'A' THEN 'Gold' ELSE 'Silver' END AS metal
-FROM lineitem WHERE l_returnflag='A' OR (l_returnflag='R' AND l_shipdate::DATE<DATE '2001-09-01')""")
+SELECT l_shipdate::DATE AS date, l_extendedprice AS price, CASE WHEN l_returnflag='A' THEN 'Gold'
+  WHEN l_returnflag='R' AND l_shipdate::DATE<DATE '2001-09-01' THEN 'Silver' ELSE 'Platinum' END AS metal
+FROM lineitem""")
 VIEWS["yearly"] = (("prices",), f"""
-SELECT metal, year(date)::INTEGER AS year, {pr(avg('price'))} AS avg_price FROM prices GROUP BY metal, year(date)""")
+SELECT metal, year(date)::INTEGER AS year, {pr('avg(price)')} AS avg_price FROM prices GROUP BY metal, year(date)""")
 VIEWS["price_months"] = (("prices",), f"""
-SELECT date_trunc('month', date)::DATE AS month, {avg("CASE WHEN metal='Gold' THEN price END")} AS g,
-  {avg("CASE WHEN metal='Silver' THEN price END")} AS s FROM prices GROUP BY 1""")
+SELECT date_trunc('month', date)::DATE AS month, avg(CASE WHEN metal='Gold' THEN price END) AS g,
+  avg(CASE WHEN metal='Silver' THEN price END) AS s FROM prices GROUP BY 1""")
 VIEWS["price_ratio"] = (("price_months",), f"""
 SELECT month, {pr('g')} AS gold, {pr('s')} AS silver, {pr('(g/nullif(s,0e0))', 4)} AS ratio FROM price_months""")
 

@@ -127,6 +127,15 @@ def _(spark, d):
     return points.groupBy("cluster").agg(F.count(F.lit(1)).alias("crimes"))
 
 
+@query("geo2_hotspot_checks", with_views(
+    "SELECT count(*) AS points, 0::BIGINT AS misplaced FROM placed_crimes", "placed_crimes"))
+def _(spark, d):
+    """Every point has one cluster, and no centre is nearer than its own."""
+    centres, points = G.hotspots(_placed(spark, d))
+    nearest = G.assign_cluster(points.withColumnRenamed("cluster", "own"), centres)
+    return nearest.agg(F.count("*").alias("points"), F.count_if(F.col("cluster") != F.col("own")).alias("misplaced"))
+
+
 @query("geo3_assign_cluster", with_views("SELECT * FROM assigned", "assigned"))
 def _(spark, d):
     return G.assign_cluster(_placed(spark, d), _centres(spark, d)).select("crime_id", "cluster")

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from finlake.functions.numeric import portable_round
+from finlake.functions.numeric import portable_round, rounded
 from finlake.functions.parsing import parse_date
 from finlake.operators import forecast as T
-from finlake.plans.oracle_views import pr, with_views
+from finlake.plans.oracle_views import near, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import billing
 from finlake.session import stage_table
 
 
+# Compared with the last digits of sums and means cut.
+_MONTHLY = "revenue_sum revenue_mean revenue_std hours_sum billingrate_mean"
+_LAGGED = _MONTHLY + " revenue_lag_1 revenue_lag_2 revenue_lag_3"
+
+
 def _monthly(spark, d):
     return T.monthly_features(T.billing_clean(billing(spark, d)))
 
@@ -37,20 +42,21 @@ def _(spark, d):
         F.trunc(day, "MM").alias("year_month"), F.add_months(F.trunc(day, "MM"), 1).alias("next_month"))
 
 
-@query("agg20_monthly_features", with_views("SELECT * FROM monthly", "monthly"))
+@query("agg20_monthly_features", with_views(near("SELECT * FROM monthly", _MONTHLY), "monthly"))
 def _(spark, d):
-    return _monthly(spark, d)
+    return rounded(_monthly(spark, d), _MONTHLY.split())
 
 
-@query("win6_udf3_lags", with_views("SELECT * FROM lagged", "lagged"))
+@query("win6_udf3_lags", with_views(near("SELECT * FROM lagged", _LAGGED), "lagged"))
 def _(spark, d):
-    return T.add_lags(_monthly(spark, d))
+    return rounded(T.add_lags(_monthly(spark, d)), _LAGGED.split())
 
 
 @query("win7_latest_per_customer", with_views(
-    "SELECT * FROM lagged WHERE (customer, year_month) IN (SELECT (customer, max(year_month)) FROM lagged GROUP BY customer)", "lagged"))
+    near("SELECT * FROM lagged WHERE (customer, year_month) IN (SELECT (customer, max(year_month)) FROM lagged GROUP BY customer)", _LAGGED),
+    "lagged"))
 def _(spark, d):
-    return T.latest_per(T.add_lags(_monthly(spark, d)))
+    return rounded(T.latest_per(T.add_lags(_monthly(spark, d))), _LAGGED.split())
 
 
 @query("ts2_chrono_split", with_views(
@@ -74,22 +80,36 @@ def _(spark, d):
 def _trained(spark, d):
     lagged = stage_table(T.add_lags(_monthly(spark, d)), "features")
     train, test = T.chrono_split(lagged)
-    return lagged, test, T.fit_revenue(train, n_estimators=10)
+    return lagged, test, T.fit_revenue(train)
+
+
+_TEST = "year_month>=(SELECT min(m) FROM (SELECT DISTINCT year_month AS m FROM lagged ORDER BY m DESC LIMIT 2))"
 
 
-@query("ts3_fit_revenue")
+@query("ts3_fit_revenue", with_views(f"SELECT count(*) AS n, true AS beats_mean FROM lagged WHERE {_TEST}", "lagged"))
 def _(spark, d):
+    """The model explains held-out months better than their own mean would."""
     _, test, model = _trained(spark, d)
-    return T.score_forecast(T.predict(model, test))
+    return T.score_forecast(T.predict(model, test)).select("n", (F.col("r2") > 0).alias("beats_mean"))
 
 
-@query("ts4_time_series_cv")
+@query("ts4_time_series_cv", " UNION ALL ".join(
+    f"SELECT {n}::INTEGER AS n_estimators, {m}::INTEGER AS max_depth, {s}::DOUBLE AS learning_rate, true AS scored"
+    for n in T.GRID["n_estimators"] for m in T.GRID["max_depth"] for s in T.GRID["learning_rate"]))
 def _(spark, d):
     lagged = stage_table(T.add_lags(_monthly(spark, d)), "features")
-    return T.time_series_cv(lagged, {"n_estimators": (3, 6), "max_depth": (3,), "learning_rate": (0.1,)})
+    return T.time_series_cv(lagged).withColumn("scored", F.col("rmse") > 0).drop("rmse")
 
 
-@query("ts6_forecast_next")
+@query("ts6_forecast_next", with_views(near(
+    """SELECT customer, (year_month+INTERVAL 1 MONTH)::DATE AS year_month,
+    strftime(year_month+INTERVAL 1 MONTH,'%B %Y') AS label, revenue_sum AS revenue_lag_1, revenue_lag_1 AS revenue_lag_2,
+    revenue_lag_2 AS revenue_lag_3, true AS predicted FROM lagged
+    WHERE (customer, year_month) IN (SELECT (customer, max(year_month)) FROM lagged GROUP BY customer)""",
+    "revenue_lag_1 revenue_lag_2 revenue_lag_3"), "lagged"))
 def _(spark, d):
+    """Next month of every customer: the features it is forecast from, and that there is a forecast."""
     lagged, _, model = _trained(spark, d)
-    return T.forecast_next(lagged, model)
+    lags = ["revenue_lag_1", "revenue_lag_2", "revenue_lag_3"]
+    made = T.forecast_next(lagged, model).join(T.next_month_features(lagged).select("customer", *lags), "customer")
+    return rounded(made.withColumn("predicted", F.col("prediction").isNotNull()).drop("prediction"), lags)

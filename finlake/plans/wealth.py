@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from finlake.functions.bands import age_group, credit_band, wealth_tier
+from finlake.functions.numeric import rounded
 from finlake.operators import medallion as M
-from finlake.plans.oracle_views import avg, pct, pr, with_views
+from finlake.plans.oracle_views import near, pct, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import bank_customers
 from finlake.session import new_path
 from finlake.sources.sinks import write_table
 
-_F = 6
 _CHURN = 'sum("Churn")::BIGINT'
 
 
@@ -52,19 +52,28 @@ def _(spark, d):
     return _silver(spark, d)
 
 
-@query("agg11_gold_wealth_tiers", with_views("SELECT * FROM gold_tiers", "gold_tiers"))
+_TIERS = "avg_net_assets avg_portfolio_return avg_credit_score avg_investments_held avg_salary avg_diversification"
+
+
+@query("agg11_gold_wealth_tiers", with_views(near("SELECT * FROM gold_tiers", _TIERS), "gold_tiers"))
 def _(spark, d):
-    return M.gold_wealth_tiers(_silver(spark, d))
+    return rounded(M.gold_wealth_tiers(_silver(spark, d)), _TIERS.split())
+
 
+_AGES = "avg_net_assets avg_return avg_investments avg_risk_profile avg_foreign_assets"
 
-@query("agg12_gold_age_groups", with_views("SELECT * FROM gold_ages", "gold_ages"))
+
+@query("agg12_gold_age_groups", with_views(near("SELECT * FROM gold_ages", _AGES), "gold_ages"))
 def _(spark, d):
-    return M.gold_age_groups(_silver(spark, d))
+    return rounded(M.gold_age_groups(_silver(spark, d)), _AGES.split())
+
+
+_COUNTRIES = "avg_net_assets avg_return avg_credit_score avg_products_held avg_salary"
 
 
-@query("agg13_gold_countries", with_views("SELECT * FROM gold_countries", "gold_countries"))
+@query("agg13_gold_countries", with_views(near("SELECT * FROM gold_countries", _COUNTRIES), "gold_countries"))
 def _(spark, d):
-    return M.gold_countries(_silver(spark, d))
+    return rounded(M.gold_countries(_silver(spark, d)), _COUNTRIES.split())
 
 
 @query("agg14_tier_report", with_views(
@@ -91,16 +100,16 @@ def _(spark, d):
 
 
 @query("agg17_credit_band_report", with_views(
-    f"""SELECT "CreditBand", count(*) AS total_customers, {pr(avg('"Net_Assets"'), 0)} AS avg_net_assets,
-    {pr('(' + avg('"Portfolio_Return"', _F) + '*100)')} AS avg_return_pct, {pr(avg('"CreditScore"'), 0)} AS avg_credit_score,
-    {pr(avg('"InvestmentCount"'), 1)} AS avg_investments, {_CHURN} AS total_churned FROM silver GROUP BY "CreditBand" """, "silver"))
+    f"""SELECT "CreditBand", count(*) AS total_customers, {pr('avg("Net_Assets")', 0)} AS avg_net_assets,
+    {pr('(avg("Portfolio_Return")*100)')} AS avg_return_pct, {pr('avg("CreditScore")', 0)} AS avg_credit_score,
+    {pr('avg("InvestmentCount")', 1)} AS avg_investments, {_CHURN} AS total_churned FROM silver GROUP BY "CreditBand" """, "silver"))
 def _(spark, d):
     return M.credit_band_report(_silver(spark, d))
 
 
 @query("agg18_churn_profiles", with_views(
     f"""SELECT "WealthTier", "AgeGroup", "CreditBand", "Country", count(*) AS total_customers, {_CHURN} AS churned,
-    {pct(_CHURN, 'count(*)', 1)} AS churn_rate_pct, {pr(avg('"Net_Assets"'), 0)} AS avg_net_assets FROM silver
+    {pct(_CHURN, 'count(*)', 1)} AS churn_rate_pct, {pr('avg("Net_Assets")', 0)} AS avg_net_assets FROM silver
     GROUP BY 1, 2, 3, 4 HAVING count(*)>2 ORDER BY churn_rate_pct DESC, "WealthTier", "AgeGroup", "CreditBand", "Country" LIMIT 15""", "silver"))
 def _(spark, d):
     return M.churn_profiles(_silver(spark, d), min_n=2)
@@ -108,7 +117,7 @@ def _(spark, d):
 
 @query("agg19_product_mix", with_views(
     'SELECT "WealthTier", ' + ", ".join(
-        f"""{pr('(' + avg('"' + p + '"') + '*100)', 1)} AS {n}""" for p, n in zip(M.PRODUCTS, (
+        f"""{pr(f'(avg("{p}")*100)', 1)} AS {n}""" for p, n in zip(M.PRODUCTS, (
             "pct_emerging_market", "pct_real_estate", "pct_private_equity", "pct_govt_bonds", "pct_corp_bonds",
             "pct_etf_tech", "pct_etf_health", "pct_etf_med"), strict=True)) + ' FROM silver GROUP BY "WealthTier"', "silver"))
 def _(spark, d):

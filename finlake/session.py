@@ -9,10 +9,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is broadcast only when its row count is known to stay below this.
-BROADCAST_ROWS = 1_000_000
-
-
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     spark = (

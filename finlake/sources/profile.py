@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from finlake.functions.numeric import portable_round
 from finlake.operators.ordered import exact_quantiles
 
 
@@ -47,8 +46,8 @@ def describe_all(df: DataFrame) -> DataFrame:
 
     figures = cells.where(F.col("number").isNotNull())
     moments = figures.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), portable_round(F.avg("number"), 4).alias("mean"),
-        portable_round(F.stddev_samp("number"), 4).alias("std"),
+        F.count(F.lit(1)).alias("count"), F.avg("number").alias("mean"),
+        F.stddev_samp("number").alias("std"),
         F.min("number").alias("min"), F.max("number").alias("max"))
     q = exact_quantiles(figures, ["column"], "number", (0.25, 0.5, 0.75))
     quartiles = q.groupBy("column").agg(*[

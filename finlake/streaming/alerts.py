@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,38 +10,45 @@ from finlake.operators.rules import score_transactions
 from finlake.sources.sinks import ALERT_KEY
 
 TRIGGER = "10 seconds"
+# Partition of alerts whose event has no time.
+NO_MONTH = "0000-00"
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return df.sparkSession.read.parquet(path)
-    except AnalysisException:
+    """The alert table, None before its first batch; an unreadable table raises."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place) or not any(s.isDirectory() and "=" in s.getPath().getName() for s in store.listStatus(place)):
         return None
+    return spark.read.parquet(path)
 
 
 def write_alerts(batch: DataFrame, batch_id: int, path: str) -> None:
     """Store the alerts of one micro-batch exactly once per (transaction, rule).
 
-    A batch owns the partition ``batch_id``: a replay after a failure replaces
-    it. Keys stored by other batches are left out. The lookup keeps only the
-    stored keys that occur in the batch, so it is the batch that moves and not
-    the history.
+    A batch owns its ``batch_id`` within each event month: a replay after a failure replaces
+    it. Keys stored by other batches are left out. An alert is repeated with
+    its event, so only the months of the batch are looked up, however long the
+    history is; alerts without event time have a month of their own.
     """
     keys = list(ALERT_KEY)
-    fresh = batch.dropDuplicates(keys).withColumn("created_at", F.current_timestamp()).persist()
+    month = F.coalesce(F.substring("timestamp", 1, 7), F.lit(NO_MONTH)) if "timestamp" in batch.columns else F.lit(NO_MONTH)
+    fresh = batch.dropDuplicates(keys).withColumns({"created_at": F.current_timestamp(), "event_month": month}).drop("timestamp").persist()
     try:
         if fresh.isEmpty():
             return
         history = _stored(fresh, path)
         rows = fresh
         if history is not None:
-            others = history.where(F.col("batch_id") != batch_id).select(*keys)
+            first, last = fresh.agg(F.min("event_month"), F.max("event_month")).first()
+            others = history.where(F.col("event_month").between(first, last) & (F.col("batch_id") != batch_id)).select(*keys)
             known = others.join(fresh.select(*keys), keys, "left_semi").distinct()
             rows = fresh.join(known, keys, "left_anti")
         (
-            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).repartition("event_month")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(path)
+            .partitionBy("event_month", "batch_id").parquet(path)
         )
     finally:
         fresh.unpersist()
@@ -52,7 +58,7 @@ def alert_query(transactions: DataFrame, path: str, checkpoint: str, once: bool
                 name: str = "alerts") -> StreamingQuery:
     """One query for all rules: a single read of the stream, one offset log, one alert table."""
     writer = (
-        score_transactions(transactions).writeStream.queryName(name)
+        score_transactions(transactions, keep=("timestamp",)).writeStream.queryName(name)
         .outputMode("append")
         .foreachBatch(lambda df, batch_id: write_alerts(df, batch_id, path))
         .option("checkpointLocation", checkpoint)
@@ -60,9 +66,11 @@ def alert_query(transactions: DataFrame, path: str, checkpoint: str, once: bool
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)).start()
 
 
-def run_available(query: StreamingQuery, seconds: int = 600) -> None:
-    """Wait until everything available was processed."""
-    if not query.awaitTermination(seconds):
+def run_available(query: StreamingQuery, seconds: int | None = None) -> None:
+    """Wait until everything available was processed, however long that takes unless ``seconds`` is given."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream {query.name} did not finish in {seconds} s")
 
@@ -83,7 +91,10 @@ def recent_alerts(alerts: DataFrame, since: str) -> DataFrame:
 
 
 def alert_counters(alerts: DataFrame) -> DataFrame:
-    """Running number of alerts per rule (complete or update mode)."""
+    """Running number of alerts per rule (complete or update mode).
+
+    Read the stored alerts, as a stream or table: the sink has left out what was delivered twice.
+    """
     return alerts.groupBy("rule_triggered").agg(F.count(F.lit(1)).alias("alerts"))
 
 

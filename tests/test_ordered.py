@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finlake.operators.ordered import exact_median, exact_quantiles, global_ntile, with_next
-from finlake.operators.skew import attach, hot_keys
+from finlake.operators.skew import attach
 
 
 @pytest.fixture(scope="module")
@@ -75,12 +75,12 @@ def _next_by_window(df, horizon):
         F.col("ns") - F.col("sec") <= horizon)
 
 
-@pytest.mark.parametrize("hot", [True, False])
+@pytest.mark.parametrize("slice_seconds", [1, 60, 7200])
 @pytest.mark.parametrize("modulus", [200000, 5000])
-def test_with_next_equals_lead(skewed, hot, modulus):
-    """Hot keys are cut into seconds, others into days; a small modulus gives many ties."""
+def test_with_next_equals_lead(skewed, slice_seconds, modulus):
+    """A small modulus gives many ties."""
     df = skewed.withColumn("sec", F.col("sec") % modulus)
-    got = with_next(df, "acct", "sec", "id", ("id", "sec"), horizon=10800, share=0.01, min_rows=0 if hot else 10**9)
+    got = with_next(df, "acct", "sec", "id", ("id", "sec"), horizon=10800, slice_seconds=slice_seconds)
     got = got.select("id", F.col("next.id").alias("got"), F.col("next.sec").alias("gs"), "sec")
     assert got.count() == 3000
     near = got.where(F.col("gs") - F.col("sec") <= 10800)
@@ -89,16 +89,24 @@ def test_with_next_equals_lead(skewed, hot, modulus):
     assert near.join(want.select("id", "n"), "id").where("got <> n").count() == 0
 
 
-def test_attach_salts_hot_keys(spark, skewed):
-    totals = skewed.groupBy("acct").agg(F.sum("id").alias("t"), F.count("*").alias("n"))
-    assert [r["acct"] for r in hot_keys(totals, ["acct"], "n", 0.1, 0).collect()] == [0]
-    plain = skewed.join(totals.drop("n"), "acct").select("id", "t")
-    got = attach(skewed, totals, ["acct"], "n", "id", share=0.1, min_rows=0, salts=16).select("id", "t")
+def test_attach_equals_join(spark, skewed):
+    totals = skewed.groupBy("acct").agg(F.sum("id").alias("t"))
+    plain = skewed.join(totals, "acct").select("id", "t")
+    got = attach(skewed, totals, ["acct"]).select("id", "t")
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
 
 def test_attach_left_keeps_null_keys(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, k string")
-    look = spark.createDataFrame([("a", 5, 1)], "k string, x int, n long")
-    got = {r["id"]: r["x"] for r in attach(rows, look, ["k"], "n", "id", how="left", min_rows=0).collect()}
+    look = spark.createDataFrame([("a", 5), (None, 6)], "k string, x int")
+    got = {r["id"]: r["x"] for r in attach(rows, look, ["k"], how="left").collect()}
     assert got == {1: 5, 2: None, 3: None}
+
+
+def test_quantiles_of_a_narrow_range_are_spread(spark):
+    """Epoch seconds differ little from each other in size; their slices stay even."""
+    df = spark.range(60_000).selectExpr("'k' as k", "1700000000 + id as v")
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, ["k"], "v", (0.25, 0.5)).collect()}
+    assert got == {0.25: 1700000000 + 14999.75, 0.5: 1700000000 + 29999.5}
+    slices = df.repartitionByRange(8, "k", "v").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert slices < 60_000 / 4

@@ -76,7 +76,9 @@ def test_undecided_is_an_anti_join(spark, tx):
 
 def test_history_limits_ranks_before_the_shuffle(tx):
     p = plan(C.account_history(tx, tx.select("account_id")))
-    assert "WindowGroupLimit" in p
+    # From the bottom: limit, exchange, limit and window, and only then the selection.
+    below = p[p.index("Join"):]
+    assert "WindowGroupLimit" in below and below.count("WindowGroupLimit") >= 2
 
 
 def test_chat_limits_ranks_before_the_shuffle(spark):
@@ -97,7 +99,7 @@ def test_top_k_and_ratio(spark):
 
 def test_filters_reach_the_scan(spark):
     p = plan(P.date_slice(prices(spark, SF_DIR), "1998-01-01", "2000-12-31"))
-    assert re.search(r"PushedFilters: \[.*l_returnflag", p)
+    assert re.search(r"PushedFilters: \[.*l_shipdate", p)
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in p
 
 
@@ -110,6 +112,12 @@ def test_python_only_where_it_is_needed(spark):
         assert not any(n in plan(QUERIES[name](spark, SF_DIR)) for n in PYTHON_NODES)
 
 
+def test_outliers_keep_null_accounts_out_of_the_shuffle(spark):
+    rows = spark.range(1000).selectExpr("IF(id % 2 = 0, NULL, string(id % 7)) AS account_id", "double(id) AS amount", "string(id) AS transaction_id")
+    p = plan(Q.flag_outliers(rows))
+    assert "Union" in p and "isnotnull(account_id" in p
+
+
 def test_message_is_parsed_once(spark):
     from finlake.streaming.events import read_events
     raw = spark.createDataFrame([("{}",)], "value string").repartition(1)

@@ -29,6 +29,15 @@ def test_parse_ts_month_first_and_day_first(spark):
     assert _one(spark, values, lambda c: parse_ts(c, day_first=True))[0] == t(2026, 1, 5, 10)
 
 
+def test_parse_ts_lenient_layouts(spark):
+    t = datetime.datetime
+    values = ["1/5/2026 09:00", "2026/01/05 10:00", "Jan 5 2026 10:00", "01/05/2026 9:00 PM", "January 5, 2026 12:30 am", "5 Jan 2026",
+              "1-5-2026 7:08:09", "12/31/2026 12:00 p.m.", "13/13/2026 10:00", "Janet 5", "2026/1/5", "01/05/2026 13:00 PM"]
+    assert _one(spark, values, parse_ts) == [
+        t(2026, 1, 5, 9), t(2026, 1, 5, 10), t(2026, 1, 5, 10), t(2026, 1, 5, 21), t(2026, 1, 5, 0, 30), t(2026, 1, 5),
+        t(2026, 1, 5, 7, 8, 9), t(2026, 12, 31, 12), None, None, t(2026, 1, 5), None]
+
+
 def test_parse_date(spark):
     d = datetime.date
     assert _one(spark, ["05/01/2026", "31/02/2000", "2026-01-05", "12/25/2020", "x"], parse_date) == [

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import ParseException
 
 from finlake.operators import adhoc, text
 from finlake.operators.text import split_text
@@ -58,7 +59,8 @@ def test_fixed_chunks(spark):
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_knn_brute_force(spark, monkeypatch, metric):
-    monkeypatch.setattr(text, "QUERIES_PER_PASS", 3)
+    monkeypatch.setattr(text, "QUERIES_PER_BATCH", 3)
+    monkeypatch.setattr(text, "VECTORS_PER_BLOCK", 70)
     rnd = np.random.default_rng(5)
     vecs = rnd.integers(-3, 4, (300, 4)).astype(float) + 0.1  # few values: many ties
     qs = rnd.integers(-3, 4, (8, 4)).astype(float) + 0.1
@@ -79,6 +81,21 @@ def test_knn_brute_force(spark, monkeypatch, metric):
             assert [m[0] for m in mine] == [int(j) for j in sorted(range(300), key=lambda j: (d[j], j))[:4]]
 
 
+def test_knn_leaves_out_what_has_no_distance(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]), (7, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([("a", [2.0, 0.1]), ("n", None)], "query_id string, embedding array<double>")
+    assert [r["vec_id"] for r in text.knn(q, v, k=4, metric="cosine").orderBy("rank").collect()] == [1, 2]
+    assert [r["vec_id"] for r in text.knn(q, v, k=4).orderBy("rank").collect()] == [1, 3, 4, 2]
+
+
+def test_knn_of_many_queries_stays_on_the_executors(spark):
+    v = spark.range(50).selectExpr("id AS vec_id", "array(double(id), 1D) AS embedding")
+    q = spark.range(10_000).selectExpr("id AS query_id", "array(double(id % 50), 1D) AS embedding")
+    got = text.knn(q, v, k=1)
+    assert got.where("vec_id = query_id % 50").count() == 10_000
+
+
 def test_knn_without_queries(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert text.knn(v.where("false").withColumnRenamed("vec_id", "query_id"), v).count() == 0
@@ -101,9 +118,21 @@ def test_ask_sql(spark):
     assert cols == ["id", "note"] and rows.count() == 20
     rows, _ = adhoc.ask_sql(spark, "with t as (select max(id) m from uploaded_data) select m from t")
     assert rows.first()[0] == 99
-    for bad in ("DROP TABLE x", "insert into t values (1)", "with t as (select 1) insert into x select * from t", "set a=b", ""):
+    spark.range(3).selectExpr("id AS load", "id AS set").createOrReplaceTempView(adhoc.VIEW)
+    assert adhoc.ask_sql(spark, "SELECT load, set FROM uploaded_data")[1] == ["load", "set"]
+    spark.range(3).createOrReplaceTempView("other_data")
+    for bad in ("DROP TABLE x", "insert into uploaded_data values (1)", "set a=b", "alter table x rename to y", "use default",
+                "cache table uploaded_data", "explain select 1", "merge into x using y on true when matched then delete"):
         with pytest.raises(ValueError, match="SELECT"):
             adhoc.ask_sql(spark, bad)
+    for bad in ("SELECT * FROM other_data", "SELECT * FROM parquet.`/any/path`", "SELECT (SELECT max(id) FROM other_data) FROM uploaded_data",
+                "WITH t AS (SELECT * FROM other_data) SELECT * FROM t", "SELECT * FROM uploaded_data WHERE EXISTS (SELECT 1 FROM other_data)"):
+        with pytest.raises(ValueError, match="unknown table"):
+            adhoc.ask_sql(spark, bad)
+    with pytest.raises(ValueError, match="reflect"):
+        adhoc.ask_sql(spark, "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM uploaded_data")
+    with pytest.raises(ParseException):
+        adhoc.ask_sql(spark, "with t as (select 1) insert into")
 
 
 def test_chart_frame(spark):
