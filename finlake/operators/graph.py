@@ -93,8 +93,13 @@ def _same_colour(links: DataFrame, colour: DataFrame) -> DataFrame:
     return links.join(a, "src").join(b, "dst").where(F.col("ca") == F.col("cb")).select("src", "dst")
 
 
-def strong_components(edges: DataFrame, largest_only: bool = False) -> DataFrame:
-    """Strong component of every node: (id, component), named by its greatest id.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """Strong component of every node: (id, component), named by its greatest id."""
+    return _components(edges, largest_only=False)
+
+
+def _components(edges: DataFrame, largest_only: bool) -> DataFrame:
+    """Labels of all nodes; with ``largest_only`` only the largest component's label can be trusted.
 
     First the component around the best-connected node, which on a road
     network is nearly everything; then, for what is left, all components in
@@ -147,7 +152,7 @@ def strong_components(edges: DataFrame, largest_only: bool = False) -> DataFrame
 
 def largest_scc(edges: DataFrame) -> DataFrame:
     """Ids of the largest strong component; equal sizes go to the one with the smallest id."""
-    labels = materialise(strong_components(edges, largest_only=True))
+    labels = materialise(_components(edges, largest_only=True))
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"))
     winner = sizes.orderBy(F.desc("n"), "lo").limit(1).select("component").scalar()
     return labels.where(F.col("component") == winner).select("id")
@@ -262,7 +267,8 @@ def greedy_tour(matrix: DataFrame, by: str | None = None) -> DataFrame:
 def expand_route(tour: DataFrame, paths: DataFrame) -> DataFrame:
     """Full node sequence of a tour: district, position, node.
 
-    Each leg is walked back over the predecessors of its start; the end of a
+    Each leg is walked back over the predecessors of its start, by pointers
+    whose reach doubles, so a leg of n nodes takes log2(n) rounds; the end of a
     leg is the start of the next one and appears once.
     """
     w = Window.partitionBy("district").orderBy("seq")
@@ -273,21 +279,21 @@ def expand_route(tour: DataFrame, paths: DataFrame) -> DataFrame:
     limits = legs.groupBy("source").agg(F.max("leg").alias("limit"))
     near = materialise(
         paths.join(limits, "source").where(F.col("dist") <= F.col("limit")).select("source", "node", "pred"))
-    step = legs.select("district", "seq", "source", "node", F.lit(0).alias("back"))
-    steps = []
+    # Ancestors one, two, four, ... steps back: the walked parts double with every round.
+    walked = legs.select("district", "seq", "source", "node", F.lit(0).alias("back"))
+    jump, span = near.where(F.col("pred").isNotNull()).select("source", "node", F.col("pred").alias("up")), 1
     while True:
-        step = materialise(
-            step.join(near, ["source", "node"])
-            .where(F.col("pred").isNotNull())
-            .select("district", "seq", "source", F.col("pred").alias("node"), (F.col("back") + 1).alias("back")))
-        if step.isEmpty():
+        further = materialise(walked.join(jump, ["source", "node"]).select(
+            "district", "seq", "source", F.col("up").alias("node"), (F.col("back") + span).alias("back")))
+        if further.isEmpty():
             break
-        steps.append(step)
-        if len(steps) > CONSOLIDATE:
-            steps = [materialise(_union(steps))]
+        walked = materialise(walked.unionByName(further))
+        onward = jump.select("source", F.col("node").alias("up"), F.col("up").alias("beyond"))
+        jump = materialise(jump.join(onward, ["source", "up"]).select("source", "node", F.col("beyond").alias("up")))
+        span *= 2
     last = tour.groupBy("district").agg(F.max("seq").alias("seq"), F.max_by("node", "seq").alias("node")).select(
         "district", "seq", "node", F.lit(1).alias("back"))
-    walked = _union([*[s.select("district", "seq", "node", "back") for s in steps], last])
+    walked = walked.where("back > 0").select("district", "seq", "node", "back").unionByName(last)
     lengths = walked.groupBy("district", "seq").agg(F.max("back").alias("size"))
     offsets = lengths.withColumn("start", F.sum("size").over(w) - F.col("size"))
     return walked.join(offsets, ["district", "seq"]).select(

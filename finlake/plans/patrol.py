@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from finlake.functions.geodesy import FALSE_EASTING, SCALE, utm_series
 from finlake.functions.numeric import portable_round
 from finlake.operators import geo as G
 from finlake.operators import graph as N
@@ -17,9 +16,15 @@ from finlake.session import materialise, stage_table
 
 
 def _utm_sql() -> tuple[str, str]:
-    """Latitude and longitude of grid columns gx, gy in SQL."""
-    radius, beta, delta = utm_series()
-    xi, eta = f"(gy/{SCALE * radius!r}::DOUBLE)", f"((gx-{FALSE_EASTING}::DOUBLE)/{SCALE * radius!r}::DOUBLE)"
+    """Latitude and longitude of grid columns gx, gy in SQL.
+
+    Fixed values, own to this check: rectifying radius and third-order series
+    coefficients of the inverse projection on the WGS84 ellipsoid, scale and false easting of UTM.
+    """
+    radius, scale, easting = 6367449.145771048, 0.9996, 500000.0
+    beta = (8.377321681862306e-04, 5.9061109218734e-08, 1.676991204140259e-10)
+    delta = (3.356551465100355e-03, 6.571913257672216e-06, 1.7677460222466733e-08)
+    xi, eta = f"(gy/{scale * radius!r}::DOUBLE)", f"((gx-{easting}::DOUBLE)/{scale * radius!r}::DOUBLE)"
     xc = xi + "".join(f"-({b!r}::DOUBLE)*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, b in enumerate(beta, 1))
     ec = eta + "".join(f"-({b!r}::DOUBLE)*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, b in enumerate(beta, 1))
     chi = f"asin(sin({xc})/cosh({ec}))"

@@ -50,13 +50,6 @@ PAYSIM = _struct(
     is_flagged_by_system=IntegerType,
 )
 
-CREDIT_CARD_TRANSACTIONS = _struct(
-    time_seconds=DoubleType,
-    **{f"V{i}": DoubleType for i in range(1, 29)},
-    amount=DoubleType,
-    is_fraud=IntegerType,
-)
-
 ALERT_COLUMNS = (
     "transaction_id", "account_origin", "amount", "transaction_type", "rule_triggered", "risk_score",
     "alert_reason", "balance_orig_before", "balance_orig_after", "is_fraud", "detected_at",
@@ -99,29 +92,6 @@ REVIEW_DECISIONS = _struct(
 )
 GROUND_TRUTH = _struct(transaction_id=StringType, is_fraud=IntegerType, pattern=StringType)
 
-BANK_MARKETING = _struct(
-    age=IntegerType, job=StringType, marital=StringType, education=StringType, default_val=StringType,
-    housing=StringType, loan=StringType, contact=StringType, month=StringType, day_of_week=StringType,
-    duration=IntegerType, campaign=IntegerType, pdays=IntegerType, previous=IntegerType, poutcome=StringType,
-    emp_var_rate=DoubleType, cons_price_idx=DoubleType, cons_conf_idx=DoubleType, euribor3m=DoubleType,
-    nr_employed=DoubleType, y=StringType,
-)
-
-CREDIT_CARDS = _struct(
-    cust_id=StringType, balance=DoubleType, balance_frequency=DoubleType, purchases=DoubleType,
-    oneoff_purchases=DoubleType, installments_purchases=DoubleType, cash_advance=DoubleType,
-    purchases_frequency=DoubleType, oneoff_purchases_frequency=DoubleType,
-    purchases_installments_frequency=DoubleType, cash_advance_frequency=DoubleType,
-    cash_advance_trx=IntegerType, purchases_trx=IntegerType, credit_limit=DoubleType, payments=DoubleType,
-    minimum_payments=DoubleType, prc_full_payment=DoubleType, tenure=IntegerType,
-)
-
-PRICES = _struct(date=DateType, price=DoubleType, metal=StringType)
-CRIMES = _struct(
-    TYPE=StringType, YEAR=IntegerType, MONTH=IntegerType, DAY=IntegerType, HOUR=IntegerType, MINUTE=IntegerType,
-    NEIGHBOURHOOD=StringType, X=DoubleType, Y=DoubleType,
-)
-
 
 def assert_schema(df: DataFrame, expected: StructType) -> DataFrame:
     """Fail before any action when a column is missing, naming it."""

@@ -46,13 +46,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order:
     return both.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") == 1).drop("_rn", "_new")
 
 
-def to_transaction_rows(clean: DataFrame) -> DataFrame:
-    """Clean rows in the layout of the transactions table, flags as 0/1."""
-    return clean.withColumns({
-        c: F.col(c).cast("int") for c in ("missing_customer_flag", "amount_outlier_flag")
-    }).select(*AML_TRANSACTIONS.names)
-
-
 def dq_log(report: DataFrame, batch_id: str) -> DataFrame:
     """Log rows of one batch; the summary is no issue."""
     return report.where(~F.col("issue_type").startswith("_summary")).select(
