@@ -105,7 +105,7 @@ def test_features_and_lags(spark):
     f = T.monthly_features(T.billing_clean(spark.createDataFrame(rows, LINES)))
     jan = f.where("month = 1").first()
     assert (jan["revenue_sum"], jan["revenue_mean"], jan["hours_sum"], jan["project_count"], jan["quarter"]) == (150.0, 75.0, 1.0, 2, 1)
-    assert jan["revenue_std"] == 35.36 and f.where("month = 2").first()["revenue_std"] == 0.0
+    assert jan["revenue_std"] == pytest.approx(35.35533905932738) and f.where("month = 2").first()["revenue_std"] == 0.0
     lags = {r["month"]: (r["revenue_lag_1"], r["revenue_lag_2"], r["revenue_lag_3"]) for r in T.add_lags(f).collect()}
     assert lags == {5: (300.0, 200.0, 150.0), 6: (500.0, 300.0, 200.0)}
     assert T.add_lags(f, calendar=True).count() == 0
