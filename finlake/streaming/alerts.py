@@ -15,13 +15,14 @@ NO_MONTH = "0000-00"
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame | None:
-    """The alert table, None before its first batch; an unreadable table raises."""
+    """Keys of the alert table, None before its first batch; an unreadable table raises. ``df`` gives their types."""
     spark = df.sparkSession
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(place) or not any(s.isDirectory() and "=" in s.getPath().getName() for s in store.listStatus(place)):
         return None
-    return spark.read.parquet(path)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*ALERT_KEY).schema]
+    return spark.read.schema(", ".join([*kinds, "event_month string", "batch_id bigint"])).parquet(path)
 
 
 def write_alerts(batch: DataFrame, batch_id: int, path: str) -> None:

@@ -67,6 +67,25 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     assert rows.count() == 4 and [r[0] for r in rows.select("batch_id").distinct().collect()] == [7]
 
 
+def test_sink_looks_only_at_the_months_of_a_batch(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+
+    def batch(i, day):
+        message = json.dumps({**json.loads(_message(i)), "timestamp": f"{day}T10:00:00"})
+        return R.score_transactions(read_events(spark.createDataFrame([(message,)], "value string")), keep=("timestamp",))
+
+    A.write_alerts(batch("t1", "2026-01-05"), 1, path)
+    A.write_alerts(batch("t1", "2026-01-05"), 2, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 2 and [r[0] for r in stored.select("event_month").distinct().collect()] == ["2026-01"]
+    for file in (tmp_path / "alerts" / "event_month=2026-01" / "batch_id=1").glob("*.parquet"):
+        file.with_name("." + file.name + ".crc").unlink(missing_ok=True)
+        file.write_bytes(b"broken")
+    A.write_alerts(batch("t2", "2026-02-01"), 3, path)
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        A.write_alerts(batch("t3", "2026-01-06"), 4, path)
+
+
 def test_alert_rate_on_a_stream(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     _feed(src, "1.txt", [_message("t1"), _message("t2"), _message("t3", amount=10.0)])
