@@ -140,3 +140,12 @@ def test_score_formula(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0)], "revenue_sum double, prediction double")
     s = T.score_forecast(df).first()
     assert (s["rmse"], s["r2"]) == (pytest.approx(0.5**0.5), 0.5)
+
+
+def test_best_grid_point_is_refitted(spark):
+    months = [(f"15/{m:02d}/{y}", c, "P", 100.0 * m + i, 1.0, 50.0) for y in (2019, 2020) for m in range(1, 13)
+              for i, c in enumerate("ABC")]
+    f = T.add_lags(T.monthly_features(T.billing_clean(spark.createDataFrame(months, LINES)))).cache()
+    model, scores = T.fit_best(f, {"n_estimators": (2, 4), "max_depth": (2,), "learning_rate": (0.1,)}, folds=2)
+    best = scores.first()
+    assert scores.count() == 2 and model.getNumTrees == best["n_estimators"] and best["rmse"] > 0
