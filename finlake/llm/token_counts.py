@@ -80,7 +80,7 @@ class _Counts(dict):
         self.tokenizer, self.waiting = tokenizer, []
         self.values_ = np.zeros(1024, dtype=np.int32)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | tuple[str]) -> int:
         self[word] = at = len(self)
         self.waiting.append(word)
         return at
@@ -121,9 +121,9 @@ def count_batch(texts: list[str], tokenizer: Any, cache: _Counts) -> np.ndarray:
             continue
         if _lacks_runs(text):
             head, *rest = text.split(" ")
-            got = [cache["^" + head], *map(cache.__getitem__, rest)] if rest else [cache["^" + head]]
+            got = [cache[(head,)], *map(cache.__getitem__, rest)]
         else:
-            got = [cache["^" + w] if not w.startswith(" ") or i == 0 else cache[w[1:]] for i, w in enumerate(_words(text))]
+            got = [cache[w[1:]] if i else cache[(w,)] for i, w in enumerate(_words(text))]
         at += got
         sizes.append(len(got))
     cache.settle()
@@ -134,10 +134,10 @@ def count_batch(texts: list[str], tokenizer: Any, cache: _Counts) -> np.ndarray:
 
 
 class _Led(_Counts):
-    """Keys starting with ``^`` stand for themselves without it, all others for a blank and the key."""
+    """Heads of texts are keys as one-tuples and stand for themselves; a string stands for a blank and itself."""
 
     def settle(self) -> None:
-        self.waiting = [w[1:] if w.startswith("^") else " " + w for w in self.waiting]
+        self.waiting = [w[0] if isinstance(w, tuple) else " " + w for w in self.waiting]
         super().settle()
 
 

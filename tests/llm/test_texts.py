@@ -58,6 +58,15 @@ def test_counts_and_splices_equal_the_library(text):
         assert token_counts.splice_count(t, text * 5, chunk, overlap) == len(t.encode(text * 5, add_special_tokens=False).ids)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*ALPHABET, "^", " ^", "^ ", "2", "x"]), max_size=30).map("".join), max_size=4))
+def test_counts_of_carets_equal_the_library(texts):
+    t = load_tokenizer(BYTES)
+    texts = ["x ^2", "^ ^", "a ^_^ ^", "^2 2", "2 ^2", " ^", "\n ^x", *texts]
+    want = [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert token_counts.count_batch(texts, t, token_counts._Led(t)).tolist() == want
+
+
 def test_overlap_is_widened():
     t = load_tokenizer(BYTES)
     for text in ("a" * 5000, "ab " + "-" * 3000 + " " * 2000 + "end", " " * 4000, "<|endoftext|>" * 300, "👩‍👩" * 900):
