@@ -135,7 +135,8 @@ def profiles(docs: DataFrame, sketch: Broadcast, mean: float, words: int, percen
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], words)
             found = [counts[_counter(s)] for s in sets]
             made = [prefix(s, c, mean, percent) if len(s) else (s, 0) for s, c in zip(sets, found)]
-            hubs = [int(1000 * np.log2(c).mean()) if len(c) else 0 for c in found]
+            # Rows with a null id are not in the sketch, so theirs may be 0.
+            hubs = [int(1000 * np.log2(np.maximum(c, 1)).mean()) if len(c) else 0 for c in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_node(s) if len(s) else None for s in sets], pa.int64()),

@@ -119,6 +119,13 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_null_id_with_a_text_of_its_own(spark):
+    rows = [(1, "a b c d e f"), (None, "p q r s t u v w"), (None, "p q r s t u v w"), (2, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == Counter([(1, 2, 1), (2, 2, 1), (None, 4, None), (None, 4, None)])
+
+
 def test_prefixes_grow_with_cost():
     tokens = np.arange(100, dtype=np.uint64)
     rare, common = np.ones(100, dtype=np.int32), np.full(100, 50, dtype=np.int32)
