@@ -6,8 +6,9 @@ extra copy is a balanced sample: inclusion probabilities move, up and down
 at random, only in directions that keep both the expected number of documents
 and the expected number of tokens of the sample, until they reach 0 or 1. Each
 block of a source leaves at most two undecided documents; these meet in fewer,
-larger groups, round by round, until a source has one group. Its last two
-documents, with the few largest that waited for them, are the landing problem.
+larger groups, round by round, until a source has one group, whatever rounds
+other sources still need. The last two documents of that group, with its few
+largest, which waited for them, are the landing problem.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from finlake.session import stage_table
 
 #: Documents of a block, on average; a bound of what meets in one group, nothing is left out.
 BLOCK = 1024
-#: Largest documents of a source, which wait for the landing; all their outcomes and those of the last two are compared.
+#: Largest documents of a source's last block, which wait for the landing; all their outcomes and those of the last two are compared.
 LANDING = 10
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -104,9 +105,10 @@ def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _decider(id_col: str, salt: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _decider(id_col: str, salt: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def decide(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop(columns="_block").sort_values([id_col, "size"], kind="stable", ignore_index=True)
+        last = int(part["_blocks"].iloc[0]) == 1
+        part = part.drop(columns=["_block", "_blocks"]).sort_values([id_col, "size"], kind="stable", ignore_index=True)
         rng = np.random.default_rng([salt, len(part), int(part["size"].sum() % 2**31)])
         order = rng.permutation(len(part))
         if last:
@@ -127,7 +129,8 @@ def balanced_sample(units: DataFrame, id_col: str = "doc_id", block: int = BLOCK
 
     Groups of any size are dealt to blocks by a hash of the id, so no group
     meets in one task; every round decides all but two documents of a block.
-    The same rows give the same sample, whatever the partitioning.
+    A group lands in the round in which it has one block. The same rows give
+    the same sample, whatever the partitioning and the other groups.
     """
     spark = units.sparkSession
     kept = units.columns
@@ -141,16 +144,15 @@ def balanced_sample(units: DataFrame, id_col: str = "doc_id", block: int = BLOCK
         if largest is None:
             done.append(rows)
             break
-        last = largest == 1
         decided = rows.where((F.col("picked") <= 0) | (F.col("picked") >= 1))
         done.append(decided)
         # null groups are groups too
         dealt = rows.where((F.col("picked") > 0) & (F.col("picked") < 1)).alias("r").join(
             blocks.alias("b"), F.expr("r.group <=> b.group"))
-        dealt = dealt.select("r.*", F.pmod(F.xxhash64(F.lit(salt), id_col), F.col("_blocks")).alias("_block"))
+        dealt = dealt.select("r.*", "_blocks", F.pmod(F.xxhash64(F.lit(salt), id_col), F.col("_blocks")).alias("_block"))
 
-        rows = stage_table(dealt.groupBy("group", "_block").applyInPandas(_decider(id_col, salt, last), schema), "flight")
-        if last:
+        rows = stage_table(dealt.groupBy("group", "_block").applyInPandas(_decider(id_col, salt), schema), "flight")
+        if largest == 1:
             done.append(rows)
             break
         salt += 1
@@ -161,7 +163,8 @@ def balanced_sample(units: DataFrame, id_col: str = "doc_id", block: int = BLOCK
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
     Sources in order of their code points, null last, weigh ``weights`` in
@@ -184,7 +187,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     # One row per source: no larger than the list of weights that the caller would give.
     rows = sized.join(F.broadcast(plan), F.expr("group <=> source")).drop("source")
     rows = rows.withColumn("base", F.floor("ratio").cast("long")).withColumn("p", F.col("ratio") - F.col("base"))
-    picked = balanced_sample(rows)
+    picked = balanced_sample(rows, block=block)
     copies = F.col("base") + F.col("picked")
     return picked.select("doc_id", F.col("group").alias("source"), "size", "source_size", "target",
                          copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -190,6 +190,31 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def heavy_tailed(seed=8):
+    """A source of many blocks beside small ones, a null one too, whose few largest documents hold most words."""
+    rng = random.Random(seed)
+    rows = [(i, "hot", rng.randint(1, 80)) for i in range(1500)]
+    return rows + [(2000 + 100 * k + i, s, int(4 * rng.paretovariate(0.8)) % 5000 + 1)
+                   for k, s in enumerate(["a", "b", "c", None]) for i in range(60)]
+
+
+def test_small_groups_land_whatever_the_others_need(spark):
+    units = spark.createDataFrame([(s, i, n, 0.3) for i, s, n in heavy_tailed()], "group string, doc_id long, size long, p double")
+    small = units.where("group is null or group != 'hot'")
+    beside = sorted((r.doc_id, r.picked) for r in mixing.balanced_sample(units, block=64).collect() if r.group != "hot")
+    alone = sorted((r.doc_id, r.picked) for r in mixing.balanced_sample(small, block=64).collect())
+    assert beside == alone and len(alone) == 240
+
+
+def test_mixing_with_one_hot_source(spark):
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, s, n in heavy_tailed()], "doc_id long, text string, source string")
+    out = mixing.mix(docs, block=64).collect()
+    assert len(out) == 1740 and all(r.copies in (0, 1, 2) for r in out)
+    for s in ("hot", "a", "b", "c", None):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(3, 0.005 * mine[0].target)
+
+
 def test_toxicity_held_out(spark, con):
     got = {r.doc_id: r for r in QUERIES["op9_toxicity"](spark, SF_DIR).collect()}
     truth = dict(con.sql("SELECT doc_id, toxic FROM labels").fetchall())
