@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlake.llm import (
-    chat, jaccard, langid, lines, mixing, multi_index, packing, threshold_search, token_counts, toxicity,
+    chat, filter_audit, jaccard, langid, lines, mixing, multi_index, packing, simhash, threshold_search, token_counts,
+    toxicity, whitening,
 )
 from finlake.llm.base import table, vocabulary
 
@@ -74,6 +75,18 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(pieces, n_docs=docs.count())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_multi_index": op1_multi_index,
     "op2_language_id": op2_language_id,
@@ -85,6 +98,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whitening": op12_whitening,
+    "op13_simhash": op13_simhash,
 }
 
-ORACLE: dict[str, str] = {"op5_line_dedup": lines.oracle()}
+ORACLE: dict[str, str] = {"op5_line_dedup": lines.oracle(), "op11_filter_audit": filter_audit.oracle()}
