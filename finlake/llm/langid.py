@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlake.llm.base import crc_bucket, hash_fraction, slices
@@ -23,9 +23,8 @@ from finlake.llm.base import crc_bucket, hash_fraction, slices
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
-#: Training rows for each language, and the languages that are learned at most: the bound of the sample.
+#: Training rows for each language: the bound of the sample, as many languages as there may be.
 ROWS_PER_LANGUAGE = 300
-MOST_LANGUAGES = 200
 EPOCHS, RATE, BATCH = 4, 20.0, 16
 #: Share of calibration rows, and of right calibration rows that may fall below the rejection threshold.
 CALIBRATION = 0.25
@@ -137,19 +136,23 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> LanguageModel | None:
-    """Model from at most ``ROWS_PER_LANGUAGE * MOST_LANGUAGES`` of the usable labelled rows; None without any.
+    """Model from at most ``ROWS_PER_LANGUAGE`` usable labelled rows of each language; None without any.
 
-    Rows are chosen by a hash of their id, each language with the share that
-    gives it ``ROWS_PER_LANGUAGE`` rows; the rarest languages beyond
-    ``MOST_LANGUAGES`` are not learned. The tasks send bags, never texts.
+    Every language is learned. Its rows are those with the smallest hashes of
+    id and text, whatever the order of rows or how often an id repeats. The
+    tasks send bags, never texts.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
+    # One row a language, as the model has.
+    counts = rows.groupBy(lang_col).count().collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, ROWS_PER_LANGUAGE / r["count"]))])
-    chosen = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hash_fraction(id_col).alias("at"))
+    # Twice the rows wanted, so that their order only has to be found among few.
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, 2 * ROWS_PER_LANGUAGE / r["count"]))])
+    chosen = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hash_fraction(id_col, text_col).alias("at"))
     chosen = chosen.where(F.col("at") < share[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy("at", F.xxhash64("text"))
+    chosen = chosen.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= ROWS_PER_LANGUAGE).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -158,8 +161,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
                 batch.column(0), pa.array([i.tobytes() for i, _ in bags], pa.binary()),
                 pa.array([v.tobytes() for _, v in bags], pa.binary())], names=["lang", "idx", "val"])
 
-    sample = chosen.mapInArrow(run, "lang string, idx binary, val binary").limit(
-        int(1.5 * ROWS_PER_LANGUAGE * len(counts))).collect()
+    sample = chosen.mapInArrow(run, "lang string, idx binary, val binary").collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r[0], bytes(r[1])))
@@ -176,7 +178,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     """
     made = ["lang_pred", "lang_score", "lang_rejected"]
     kept = docs.drop(*made)
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MOST_LANGUAGES numbers at most
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value

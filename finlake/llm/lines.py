@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A line is boilerplate on more than this share of a host's pages, and on so many pages at least.
+#: A line is boilerplate on more than this share of a host's pages.
 RATIO = 0.03
-LEAST_PAGES = 5
+#: Pages that make a line a repeated one: the only line of a host with one page is on all of them.
+REPEATED = 2
 
 
 def _key(line: Column) -> Column:
@@ -19,8 +20,7 @@ def _key(line: Column) -> Column:
     return F.when(F.trim(line) != "", F.unhex(F.md5(F.trim(line).cast("binary"))))
 
 
-def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO,
-                      least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO) -> DataFrame:
     """(``host``, ``line``, ``pages``, ``ratio``) of the lines to drop; ``line`` is the line's key.
 
     Each page counts a line once, whatever its repeats, and counts are combined
@@ -30,24 +30,25 @@ def boilerplate_lines(pages: DataFrame, host_col: str, text_col: str, ratio: flo
     lines = pages.select(host, F.explode(F.array_distinct(F.transform(F.split(text_col, "\n"), _key))).alias("line"))
     counts = lines.where(F.col("line").isNotNull()).groupBy("host", "line").agg(F.count("*").alias("pages"))
     totals = pages.groupBy(host).agg(F.count("*").alias("host_pages"))
-    common = counts.where(F.col("pages") >= least_pages)
+    common = counts.where(F.col("pages") >= REPEATED)
     return common.join(totals, common["host"].eqNullSafe(totals["host"])).select(
         common["host"], "line", "pages", (F.col("pages") / F.col("host_pages")).alias("ratio"),
     ).where(F.col("ratio") > F.lit(ratio))
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-                     ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+                     ratio: float = RATIO) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, and ``n_lines``, ``n_dropped`` at the end.
 
-    A host's pages are its rows; a null host is a host, a null text a page
-    without lines that stays null. All lines dropped leaves an empty text; the
+    A host's pages are its rows, and the ratio alone decides which repeated
+    lines go, on small hosts as on large ones; a host of one page loses none.
+    A null host is a host, a null text a page without lines that stays null. All lines dropped leaves an empty text; the
     row stays. Repeated rows are separate pages, and rows with one id share the
     union of their drops. Rows with a null id keep their lines. An empty table
     gives no rows; columns called ``n_lines`` or ``n_dropped`` are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    lost = boilerplate_lines(docs, host_col, text_col, ratio, least_pages).select("host", "line")
+    lost = boilerplate_lines(docs, host_col, text_col, ratio).select("host", "line")
     split = F.split(text_col, "\n")
     seen = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(host_col).alias("_host"),
@@ -65,7 +66,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "s
     return rows.select(*out, F.col("_n").alias("n_lines"), F.coalesce(F.col("_n") - F.size("_kept"), F.lit(0)).alias("n_dropped"))
 
 
-def oracle(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
+def oracle(ratio: float = RATIO) -> str:
     """The same rows in SQL, for ``documents`` with ``source`` as host."""
     return f"""
 WITH lines AS (
@@ -76,7 +77,7 @@ WITH lines AS (
 ), totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY ALL
 ), lost AS (
   SELECT counts.source, line FROM counts JOIN totals ON counts.source IS NOT DISTINCT FROM totals.source
-  WHERE pages >= {least_pages} AND pages::DOUBLE / host_pages > {ratio}
+  WHERE pages >= {REPEATED} AND pages::DOUBLE / host_pages > {ratio}
 ), marked AS (
   SELECT lines.*, EXISTS (SELECT 1 FROM lost WHERE lost.source IS NOT DISTINCT FROM lines.source
                           AND lost.line = trim(lines.line, ' ')) AS gone

@@ -11,7 +11,11 @@ All queries of a batch share the reading; bounds are matrix products.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable
+from fractions import Fraction
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,6 @@ DEPTHS = (0.4, 0.6, 0.75, 0.9, 1.0)
 FEW = 0.05
 #: Queries whose bounds are held at once: FEW_QUERIES x BLOCK_VECTORS doubles.
 FEW_QUERIES = 256
-#: Quantised components stay within this; only values above 2**23 are cut.
-MOST = 2**29
 
 
 def _levels(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,32 +85,42 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
     return who[best], ids[at[best]], scores[best]
 
 
-def exact_scores(x: np.ndarray, q: np.ndarray) -> list[int]:
-    """Integer inner products of paired rows, without rounding, within the range of a long."""
-    out = []
-    for a, b in zip(q.astype(np.int64).tolist(), x.astype(np.int64).tolist()):
-        total = sum(i * j for i, j in zip(a, b))
-        out.append(max(-2**63, min(2**63 - 1, total)))
-    return out
+def whole(x: np.ndarray, scale: float) -> list[list[int]]:
+    """floor(scale * x) of every component as integers of any size; a product beyond doubles is taken exactly."""
+    return [[math.floor(p) if math.isfinite(p := scale * c) else math.floor(Fraction(scale) * Fraction(c)) for c in row] for row in x.tolist()]
 
 
-def _searcher(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def exact_top(x: list[list[int]], ids: np.ndarray, q: list[int], q_id: int, k: int) -> list[tuple[int, int]]:
+    """The ``k`` best (score, vector id) of a query, in integers of any size."""
+    scores = ((sum(map(mul, q, v)), i) for i, v in zip(ids.tolist(), x) if i != q_id)
+    return heapq.nsmallest(k, scores, key=lambda s: (-s[0], s[1]))
+
+
+def as_long(score: int) -> int:
+    if not -2**63 <= score < 2**63:
+        raise OverflowError(f"the inner product {score} is beyond a long")
+    return score
+
+
+def _searcher(k: int, scale: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def search(entries: pa.Table, queries: pa.Table) -> pa.Table:
         if not entries.num_rows or not queries.num_rows:
             return as_table([], [], [], pa.int64())
-        x, ids = matrix(entries, "vec"), entries.column("vec_id").to_numpy()
-        q, q_ids = matrix(queries, "vec"), queries.column("query_id").to_numpy()
+        raw_x, ids = matrix(entries, "vec"), entries.column("vec_id").to_numpy()
+        raw_q, q_ids = matrix(queries, "vec"), queries.column("query_id").to_numpy()
+        with np.errstate(over="ignore"):
+            x, q = np.floor(scale * raw_x), np.floor(scale * raw_q)
         parts = []
         if x.shape[1] * max(1.0, float(np.abs(x).max(initial=0))) * max(1.0, float(np.abs(q).max(initial=0))) < 2**52:
             for i in range(0, len(q), FEW_QUERIES):
                 who, found, scores = search_block(x, ids, q[i:i + FEW_QUERIES], q_ids[i:i + FEW_QUERIES], k)
                 parts.append((q_ids[i + who], found, scores.astype(np.int64)))
         else:  # beyond the integers of a double, all are resolved
-            for i in range(len(q)):
-                scores = np.array(exact_scores(x, np.broadcast_to(q[i], x.shape)), dtype=np.int64)
-                other = np.flatnonzero(ids != q_ids[i])
-                order = other[np.lexsort((ids[other], ~scores[other]))[:k]]
-                parts.append((np.full(len(order), q_ids[i]), ids[order], scores[order]))
+            candidates = whole(raw_x, scale)
+            for q_id, own in zip(q_ids.tolist(), whole(raw_q, scale)):
+                best = exact_top(candidates, ids, own, q_id, k)
+                parts.append((np.full(len(best), q_id), np.array([i for _, i in best], dtype=np.int64),
+                              np.array([as_long(s) for s, _ in best], dtype=np.int64)))
         return as_table(*(np.concatenate([p[i] for p in parts]) for i in range(3)), pa.int64())
 
     return search
@@ -121,19 +133,16 @@ def exact_top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: float = 64
     Queries are the rows whose id is divisible by ``every``; a query never
     finds rows with its own id. Vectors that are null or hold a null or
     non-finite component take no part, nor do rows without an id; vectors of
-    different lengths are not compared, zero vectors score 0. Quantised
-    components beyond ``MOST`` are cut to it. Ties go to the smaller id,
+    different lengths are not compared, zero vectors score 0. Components of any
+    size are exact; where a block's best scores are beyond a long, which the
+    result cannot hold, the query fails. Ties go to the smaller id,
     repeated rows are repeated candidates; fewer candidates than ``k`` are all
     returned, an empty table gives no rows; other columns are not read.
 
     Candidates are dealt to blocks by a hash of the id, so equal vectors are
     spread; each block returns its ``k`` best, which are merged.
     """
-    cut = F.transform("vec", lambda v: F.greatest(F.least(F.floor(v * F.lit(scale)).cast("double"), F.lit(float(MOST))),
-                                                  F.lit(-float(MOST))))
-    valid = valid_vectors(rows, id_col, vector_col, no_zero=False).withColumn(
-        "vec", F.transform("vec", lambda v: F.greatest(F.least(v, F.lit(2.0**53)), F.lit(-2.0**53))))
-    table = stage_table(valid.withColumn("vec", cut), "quantised")
+    table = stage_table(valid_vectors(rows, id_col, vector_col, no_zero=False), "vectors")
     found = None
     for dim, n, asked in sorted(table.groupBy("dim").agg(
             F.count("*"), F.count_if(F.col("vec_id") % every == 0)).collect()):
@@ -148,7 +157,7 @@ def exact_top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: float = 64
             F.col("vec_id").alias("query_id"), "vec",
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
             batch_of("vec_id", batches).alias("batch"))
-        part = search_blocks(entries, queries, _searcher(k), "long", k)
+        part = search_blocks(entries, queries, _searcher(k, scale), "long", k)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else rows.sparkSession.createDataFrame(
         [], "query_id long, rank int, vec_id long, score long")

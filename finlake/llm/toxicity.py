@@ -213,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
           label_col: str = "toxic") -> ToxicityModel | None:
     """Model from at most ``TRAIN_ROWS`` labelled usable rows, chosen by a hash of the id; None without both classes.
 
-    Null labels teach nothing; of several labels for an id the largest holds.
+    Null labels teach nothing; of several labels for an id the largest holds,
+    of several texts the one with the smallest hash.
     The tasks send hashed stems, never texts.
     """
     known = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -221,9 +222,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     total = known.count()
     if not total:
         return None
-    chosen = known.where(hash_fraction(id_col, salt=9) < F.lit(min(1.0, 0.9 * TRAIN_ROWS / total))).limit(TRAIN_ROWS)
-    # At most TRAIN_ROWS ids and labels, by the limit.
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("_label", text_col)
+    at = hash_fraction(id_col, salt=9)
+    chosen = known.where(at < F.lit(min(1.0, 2 * TRAIN_ROWS / total))).orderBy(at, id_col).limit(TRAIN_ROWS)
+    # At most TRAIN_ROWS ids and labels, by the limit. An id teaches one text, however often it repeats.
+    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
+    rows = rows.groupBy(id_col).agg(
+        F.max("_label").alias("_label"), F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
@@ -233,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
                 pa.array([b.astype(np.uint32).tobytes() for b, _ in made], pa.binary()),
                 pa.array([f.tobytes() for _, f in made], pa.binary())], names=["label", "stems", "figures"])
 
-    got = rows.mapInArrow(run, "label int, stems binary, figures binary").limit(2 * TRAIN_ROWS).collect()
+    got = rows.mapInArrow(run, "label int, stems binary, figures binary").collect()
     got.sort(key=lambda r: (bytes(r[1]), r[0]))
     y = np.array([r[0] for r in got], dtype=np.int64).clip(0, 1)
     if len(y) < 2 or y.min() == y.max():

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from finlake.llm import jaccard, langid, lines, mixing, toxicity
@@ -51,6 +52,21 @@ def test_language_id_edges(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned_whatever_the_order(spark):
+    """More languages than were learned before, one id on most rows of one of them: all are known, and reruns agree."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = {f"l{k:03}": ["".join(rng.choices(letters, k=6)) for _ in range(3)] for k in range(210)}
+    rows = [(1000 * k + i, " ".join(rng.choices(words, k=12)), lang, "s", 0)
+            for k, (lang, words) in enumerate(vocab.items()) for i in range(4)]
+    rows += [(7, " ".join(rng.choices(vocab["l000"], k=12)), "l000", "s", 0) for _ in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    everything = docs.doc_id.isNotNull() | docs.doc_id.isNull()
+    model = langid.train(docs.repartition(3), everything)
+    again = langid.train(docs.orderBy("text"), everything)
+    assert set(model.languages) == set(vocab) and (model.table == again.table).all()
+
+
 def test_lines(spark):
     rows = [(i, f"own {i}\n menu \n\nmenu", "en", "hot", 0) for i in range(40)]
     rows += [(100 + i, "menu\nother", "en", None, 0) for i in range(8)]
@@ -65,6 +81,15 @@ def test_lines(spark):
     assert lines.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_the_ratio_decides_on_small_hosts(spark):
+    """Hosts of 1 to 6 pages at the default ratio: repeated lines go, a line of one page stays."""
+    rows = [(10 * n + i, f"menu\nbody {n} {i}", "en", f"h{n}", 0) for n in range(1, 7) for i in range(n)]
+    rows += [(100, "pair\nalone", "en", "h4", 0), (101, "pair\nsingle\nsingle", "en", "h4", 0)]
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {10: "menu\nbody 1 0", 100: "alone", 101: "single\nsingle",
+                   **{10 * n + i: f"body {n} {i}" for n in range(2, 7) for i in range(n)}}
+
+
 def brute_components(rows, words, percent):
     sets = [(i, shingles(t or "", words)) for i, t in rows]
     parent = {i: i for i, _ in sets}
@@ -297,6 +322,28 @@ def test_pipeline_stages(spark, small_corpus):
     assert whole == Counter({i: n * first[i] for i, n in taken.items()})
 
 
+def test_pipeline_tells_documents_by_id_and_text(spark, tmp_path):
+    """Texts that share an id, or have none, are documents of their own; clashing extra columns do no harm."""
+    rng = random.Random(4)
+    words = [f"wort{i}" for i in range(3000)]
+    text = lambda: " ".join(rng.choices(words, k=40))
+    one, two = text(), text()
+    rows = [(i, text(), "de", f"s{i % 3}", 0) for i in range(30)]
+    rows += [(5, one, "de", "s1", 0), (3, two, "de", "s1", 0), (5, two, "de", "s2", 0), (None, text(), "de", "s1", 0), (None, text(), "de", "s1", 0),
+             (6, one + " nachtrag", "de", None, 0), (8, one, "de", "s1", 0), (8, one, "de", "s1", 0), (40, "", "de", "s1", 0), (40, "", "de", "s1", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("component_id", F.lit("x")).withColumn("copies", F.lit(1))
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter((i, t) for i, t, *_ in rows[:30]) + Counter([(5, one), (3, two), (40, "")] + [(i, t) for i, t, *_ in rows[33:35]])
+    mixed = corpus_pipeline.mix_sources(spark, kept, SF_DIR)
+    taken = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert mixed.columns == docs.columns and set(taken) <= set(got) and max(taken.values()) <= 2
+    assert any(i is None for i, _ in taken)
+    labelled = corpus_pipeline.identify_language(spark, docs.unionByName(docs.select(*docs.columns)), SF_DIR)
+    assert labelled.where("doc_id IS NULL").count() == 4
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -62,13 +62,23 @@ def test_reading_stops_early_and_stays_exact():
 
 
 def test_large_components_are_exact(spark):
-    rows = [(i, [float(2**21 + i), 1e300 if i == 3 else 2.0**20 * i]) for i in range(6)]
+    """Beyond 2**23, which used to be cut, and beyond the integers of a double."""
+    rows = [(i, [float(2**23 + i) + 0.5, 2.0**20 * i, -3.0 * 2.0**(i % 4)]) for i in range(8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = threshold_search.exact_top_k(df, 3, 2).collect()
-    most = threshold_search.MOST
-    whole = {i: [min(most, int(min(64 * c, 2.0**60))) for c in v] for i, v in rows}
-    for r in got:
-        assert r.score == sum(a * b for a, b in zip(whole[r.query_id], whole[r.vec_id]))
+    got = sorted(threshold_search.exact_top_k(df, 3, 2).collect(), key=lambda r: (r.query_id, r.rank))
+    whole = {i: [int(np.floor(64 * c)) for c in v] for i, v in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b]))
+    want = [(q, r + 1, i, dot(q, i)) for q in range(0, 8, 2)
+            for r, i in enumerate(sorted((i for i in whole if i != q), key=lambda i: (-dot(q, i), i))[:3])]
+    assert [tuple(r) for r in got] == want
+
+
+def test_integers_of_any_size():
+    assert threshold_search.whole(np.array([[1e308, -0.01, 2.0**60 + 1]]), 64.0) == [[64 * int(1e308), -1, 64 * 2**60]]
+    assert threshold_search.exact_top([[2**70, 1], [2**70, 2], [1, 1]], np.array([5, 6, 7]), [2**70, 1], 9, 2) == [
+        (2**140 + 2, 6), (2**140 + 1, 5)]
+    with pytest.raises(OverflowError):
+        threshold_search.as_long(2**63)
 
 
 def test_multi_index_takes_all_when_small(spark, rows):
