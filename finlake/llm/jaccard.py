@@ -12,20 +12,26 @@ prefixes that its own two sizes ask for.
 The result is the connected components of the links, so a pair inside a known
 component need not be looked at: first each set is verified against one leader,
 the set of the most frequent shingles in the lists of its prefix, then only
-pairs across the components found so far, whatever their number. Sets that are
-equal are one node throughout.
+pairs across the components found so far, whatever their number. A list with
+few sets outside its main component gives its pairs directly. In one with many,
+which near copies make that lie too far from each other, the prefix filter runs
+once more on what each set has more and less than what most of them have in
+common: two sets that link, and are not joined by the set next to that, share
+some of these rare differences, and their number tells exactly if they link.
+Sets that are equal are one node throughout.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlake.llm.base import slices
@@ -37,6 +43,13 @@ from finlake.session import stage_table
 SKETCH_BITS, SKETCH_PARTS = 22, 32
 #: Longest extension of a prefix, and what verifying a pair costs in list entries, for each shingle.
 MOST_MATCHES, VERIFY_COST = 4, 0.05
+#: Sets outside the main component with which a list gives its pairs directly. Shingles of a part of pairs.
+MOST_OUTSIDERS, PART_SHINGLES = 16, 1 << 20
+#: Sets whose common tokens are the reference of a crowded list.
+SAMPLE = 31
+
+#: Tells a token that a set lacks from the same one that a set has.
+_MISSING = np.uint64(0x5555555555555555)
 
 
 def _counter(hashes: np.ndarray) -> np.ndarray:
@@ -147,37 +160,223 @@ def profiles(docs: DataFrame, sketch: Broadcast, mean: float, words: int, percen
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, m int, hub int, prefix array<long>")
 
 
+def _paired(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, work: Callable, kind: str,
+            references: DataFrame | None = None) -> DataFrame:
+    """``work`` over the sets of each pair (``a``, ``b``), in parts of about PART_SHINGLES shingles.
+
+    A part gets the text of each of its ``a``, and once, however many pairs
+    ask for it, the text of a ``b``, or its ``tokens`` in ``references``. A
+    ``b`` with more pairs than a part holds goes to several parts. ``work``
+    gets lists of (a, b, set of a, set of b) and returns a record batch.
+    """
+    spark = pairs.sparkSession
+    ids = nodes.select("node", "doc_id", "n")
+    named = stage_table(pairs.select("a", "b").join(ids.toDF("a", "_a", "n_a"), "a").join(ids.toDF("b", "_b", "n_b"), "b"), "pairs")
+    sizes = named.groupBy("b").agg((F.sum("n_a") + F.first("n_b")).alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SHINGLES))
+    hot = sizes.where(F.col("size") > PART_SHINGLES).select("b", F.ceil(F.col("size") / PART_SHINGLES).alias("_salts"))
+    salt = F.pmod(F.xxhash64("a"), F.coalesce("_salts", F.lit(1)))
+    dealt = named.join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("b", salt), F.lit(parts)))
+    left = dealt.join(docs.toDF("_a", "text"), "_a").select("part", "a", "b", "text")
+    asked = dealt.select("part", "b", "_b").distinct().toDF("deal", "b", "_b")
+    if references is None:
+        right = asked.join(docs.toDF("_b", "text"), "_b").select("deal", "text")
+    else:
+        right = asked.join(references, "b").select("deal", F.col("b").alias("node"), "tokens")
+    words = work.words
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # An id that several texts share comes with each of them: the set tells which one is meant.
+        if "text" in right.column_names:
+            second = _sets_of(right, words)
+        else:
+            second = {b: np.array(t, dtype=np.int64).view(np.uint64) for b, t in zip(right["node"].to_pylist(), right["tokens"].to_pylist())}
+        out = [work([])]
+        for batch in slices(left.to_batches(), 256):
+            first = _sets_of(batch, words)
+            wanted = dict.fromkeys(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+            out.append(work([(a, b, first[a], second[b]) for a, b in wanted if a in first and b in second]))
+        return pa.Table.from_batches(out)
+
+    return left.groupBy("part").cogroup(right.groupBy("deal")).applyInArrow(run, kind)
+
+
+def _sets_of(rows: pa.Table | pa.RecordBatch, words: int) -> dict[int, np.ndarray]:
+    """The sets of the texts of ``rows`` by their nodes."""
+    texts = list({t for t in rows.column("text").to_pylist() if t is not None})
+    return {set_node(s): s for s in shingle_sets(texts, words) if len(s)}
+
+
+class _Similar:
+    """Keeps the pairs whose sets have the Jaccard similarity."""
+
+    def __init__(self, words: int, percent: int) -> None:
+        self.words, self.percent = words, percent
+
+    def __call__(self, pairs: list[tuple]) -> pa.RecordBatch:
+        kept = []
+        for a, b, s, t in pairs:
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * common >= self.percent * (len(s) + len(t) - common):
+                kept.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (``a``, ``b``) of ``pairs`` whose sets have the Jaccard similarity, from the whole texts.
+    """The (``a``, ``b``) of ``pairs`` whose sets have the Jaccard similarity, from the whole texts."""
+    return _paired(pairs, nodes, docs, _Similar(words, percent), "a long, b long")
+
 
-    Both texts of a pair come by one shuffle of the documents; a pair's sets
-    never leave its task.
+def references(crowded: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(``b``, ``tokens``): what more than half of SAMPLE sets of each leader ``b`` hold.
+
+    Differences to any set lead to the same links; few of them need looking at
+    when it is near to all, so the sample decides on work and not on results.
     """
-    where = nodes.select("node", "doc_id")
-    named = pairs.select("a", "b").join(where.toDF("a", "_a"), "a").join(where.toDF("b", "_b"), "b")
-    first = docs.toDF("_a", "text_a")
-    second = docs.toDF("_b", "text_b")
-    both = named.join(first, "_a").join(second, "_b").select("a", "b", "text_a", "text_b")
+    order = Window.partitionBy("b").orderBy(F.xxhash64("a"), "a")
+    chosen = crowded.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE)
+    texts = chosen.select("a", "b").join(nodes.select(F.col("node").alias("a"), "doc_id"), "a").join(docs, "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            # Leaders repeat: each text of a batch is cut once.
-            texts = list({*batch.column(2).to_pylist(), *batch.column(3).to_pylist()} - {None})
-            sets = dict(zip(texts, shingle_sets(texts, words)))
-            kept = []
-            for x, y, left, right in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, t = sets[left], sets[right]
-                # An id that several texts share comes with each of them.
-                if set_node(s) != x or set_node(t) != y:
-                    continue
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    kept.append((x, y))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    def common(rows: pa.Table) -> pa.Table:
+        wanted = set(rows["a"].to_pylist())
+        sets = [s for node, s in _sets_of(rows, words).items() if node in wanted]
+        tokens, held = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.table({"b": rows["b"].slice(0, 1), "tokens": pa.array([tokens[2 * held > len(sets)].view(np.int64)], pa.list_(pa.int64()))})
+
+    return texts.select("a", "b", "text").groupBy("b").applyInArrow(common, "b long, tokens array<long>")
+
+
+class _Differences:
+    """What a set has more and less than a reference, the tokens that few others differ in first."""
+
+    kind = "node long, leader long, n long, n_ref long, missing long, size long, keys array<long>"
+
+    def __init__(self, words: int, sketch: Broadcast) -> None:
+        self.words, self.sketch = words, sketch
+
+    def __call__(self, pairs: list[tuple]) -> pa.RecordBatch:
+        rows = []
+        counts = self.sketch.value
+        for node, leader, own, ref in pairs:
+            added, missing = np.setdiff1d(own, ref, assume_unique=True), np.setdiff1d(ref, own, assume_unique=True)
+            often = counts[_counter(ref)].max() if len(ref) else 0
+            seen = np.concatenate([counts[_counter(added)], often - counts[_counter(missing)]])
+            marks = np.concatenate([added, missing ^ _MISSING])
+            rows.append((node, leader, len(own), len(ref), len(missing), len(marks), marks[np.lexsort((marks, seen))].view(np.int64)))
+        columns = list(zip(*rows)) or [()] * 7
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.list_(pa.int64()))],
+            names=[f.split()[0] for f in self.kind.split(", ")])
 
-    return both.mapInArrow(run, "a long, b long")
+
+def _need(percent: int) -> str:
+    """The overlap that two sizes ask for."""
+    return f"((n + n_b) * {percent} + {99 + percent}) div {100 + percent}"
+
+
+def _similar(percent: int) -> str:
+    return f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+
+
+def shingle_lists(live: DataFrame) -> DataFrame:
+    """(``token``, ``node``, ``n``, ``m``, ``hub``, ``_at``, ``leader``) of the prefix tokens that several sets have."""
+    entries = live.select(F.posexplode("prefix").alias("_at", "token"), "node", "n", "m", "hub")
+    # Lists of one set hold no pair, and most lists do.
+    leaders = entries.groupBy("token").agg(
+        F.min("node").alias("_first"), F.max("node").alias("_last"), F.max_by("node", "hub").alias("leader"))
+    leaders = leaders.where("_first != _last").select("token", "leader")
+    return entries.join(leaders, "token").dropDuplicates(["token", "node"])
+
+
+def leader_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(``a``, ``b``): each set and the leader that it shares the most prefix tokens with, if enough."""
+    other = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
+    shared = lists.where("node != leader").join(other, "leader").where(_similar(percent)).where(
+        f"_at < n - {_need(percent)} + least(m, m_b)")
+    shared = shared.groupBy("node", "leader").agg(F.count("*").alias("k"), F.first(F.least("m", "m_b")).alias("m"))
+    return shared.where("k >= m").groupBy("node").agg(F.max_by("leader", "k").alias("b")).select(F.col("node").alias("a"), "b")
+
+
+def mixed_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """``lists`` that hold several components: with ``root`` of each set, ``main`` component and ``outsiders`` of the list."""
+    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("token", "root").count()
+    main = sizes.groupBy("token").agg(
+        F.max_by("root", "count").alias("main"), (F.sum("count") - F.max("count")).alias("outsiders"))
+    return placed.join(main.where("outsiders > 0"), "token")
+
+
+def list_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """(``a``, ``b``) across components of lists with at most MOST_OUTSIDERS outsiders: so many rows for an entry at most."""
+    few = mixed.where(F.col("outsiders") <= MOST_OUTSIDERS).select("token", "node", "n", "_at", "root", "main")
+    other = few.select("token", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("_at").alias("_at_b"), F.col("root").alias("root_b"))
+    pairs = few.where("root != main").join(other, "token").where("root != root_b and (root_b = main or node < node_b)")
+    # The first shingle that a linked pair shares lies in the single-match part of both prefixes.
+    need = _need(percent)
+    return pairs.where(_similar(percent)).where(f"_at <= n - {need} and _at_b <= n_b - {need}").select(
+        F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+
+
+def crowded_leaders(mixed: DataFrame, percent: int) -> DataFrame:
+    """(``a``, ``b``): the sets of lists with more outsiders, and a leader of about their size to tell them by.
+
+    A list is cut by size into classes in whose steps a linked pair is at most
+    one apart; each set enters its own class and the one below.
+    """
+    step = math.log(100 / percent) + 1e-6 if percent < 100 else 1e-6
+    crowded = mixed.where(F.col("outsiders") > MOST_OUTSIDERS).select("token", "node", "n", "hub")
+    size = F.floor(F.log("n") / F.lit(step))
+    classed = crowded.withColumn("class", F.explode(F.array(size, size - 1)))
+    leaders = classed.groupBy("token", "class").agg(F.max_by("node", F.struct("hub", "node")).alias("b"))
+    return classed.join(leaders, ["token", "class"]).select(F.col("node").alias("a"), "b").distinct()
+
+
+def measured(differences: DataFrame, percent: int) -> DataFrame:
+    """``differences`` with each set's distance ``w`` to its reference, and the ``nearest`` set and its distance ``w_0``.
+
+    With p = percent / (100 + percent), d missing and a added tokens, two sets
+    u and v of one reference of size n link when they share at least
+    p * (n_u + n_v) - n + d_u + d_v = w_u + w_v - c differences, where
+    w = p * a + (1 - p) * d and c = (1 - 2 p) * n. ``w`` is in parts of
+    1 / (100 + percent). All pairs that need none have both sets ``close``:
+    they link with the nearest one.
+    """
+    w = (F.lit(percent) * (F.col("size") - F.col("missing")) + F.lit(100) * F.col("missing")).alias("w")
+    far = differences.select("*", w)
+    nearest = far.groupBy("leader").agg(F.min("w").alias("w_0"), F.min_by("node", F.struct("w", "node")).alias("nearest"))
+    # The sets of a leader are joined by it, and spread: each has a row for every leader only.
+    return far.join(nearest, "leader").withColumn("lacks", F.col("w") + F.col("w_0") - F.lit(100 - percent) * F.col("n_ref")).withColumn(
+        "close", F.col("lacks") <= 0)
+
+
+def difference_links(differences: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(``a``, ``b``) across components that share enough of their differences to one reference.
+
+    One of the two is not close. Then the other, v, has to share more than
+    w_v - w_0 of its own differences, and u at least as many as it lacks to
+    the nearest set: either bound gives a prefix. The pair's own bound cuts
+    both again, and what the pairs left have in common is counted whole.
+    """
+    placed = stage_table(differences.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    whole = 100 + percent
+    short = f"size - (w - w_0) div {whole}"
+    own = f"if(close, {short}, size - (lacks + {whole - 1}) div {whole} + 1)"
+    cut = placed.withColumn("keys", F.expr(f"slice(keys, 1, cast({own} as int))")).withColumn("short", F.expr(short))
+    entries = cut.select(F.posexplode("keys").alias("_at", "key"), *[c for c in cut.columns if c not in ("keys", "w", "w_0", "lacks", "nearest")])
+    several = entries.groupBy("leader", "key").agg(
+        F.min("root").alias("_first"), F.max("root").alias("_last"), F.min("close").alias("_close"))
+    several = several.where("_first != _last and not _close").select("leader", "key")
+    entries = stage_table(entries.join(several, ["leader", "key"]), "differences")
+    other = entries.where("_at < short").select(
+        "leader", "key", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "missing", "size", "_at")))
+    least = f"({_need(percent)} - n_ref + missing + missing_b)"
+    pairs = entries.where("not close").join(other, ["leader", "key"]).where("root != root_b").where(_similar(percent))
+    pairs = pairs.where(f"_at <= size - {least} and _at_b <= size_b - {least}").select(
+        "leader", F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), F.expr(least).alias("least")).distinct()
+    keys = placed.select("leader", "node", "keys")
+    both = pairs.join(keys.toDF("leader", "a", "keys"), ["leader", "a"]).join(keys.toDF("leader", "b", "keys_b"), ["leader", "b"])
+    return both.where(F.size(F.array_intersect("keys", "keys_b")) >= F.col("least")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -202,44 +401,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     live = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stage_table(live.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("m").alias("m")), "nodes")
-    entries = live.select(F.posexplode("prefix").alias("_at", "token"), "node", "n", "m", "hub")
-    # Lists of one set hold no pair, and most lists do.
-    leaders = entries.groupBy("token").agg(
-        F.min("node").alias("_first"), F.max("node").alias("_last"), F.max_by("node", "hub").alias("leader"))
-    leaders = leaders.where("_first != _last").select("token", "leader")
-    lists = stage_table(entries.drop("hub").join(leaders, "token").dropDuplicates(["token", "node"]), "lists")
+    lists = stage_table(shingle_lists(live), "lists")
 
-    similar = f"100 * least(n, n_b) >= {int(percent)} * greatest(n, n_b)"
-    # The overlap that the two sizes ask for, and the part of either prefix that shows it.
-    need = f"((n + n_b) * {int(percent)} + {99 + int(percent)}) div {100 + int(percent)}"
-    early = f"_at < n - {need} + least(m, m_b)"
-    other = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
-    shared = lists.where("node != leader").join(other, "leader").where(similar).where(early)
-    shared = shared.groupBy("node", "leader").agg(F.count("*").alias("k"), F.first(F.least("m", "m_b")).alias("m"))
-    shared = shared.where("k >= m")
-    first = stage_table(shared.groupBy("node").agg(F.max_by("leader", "k").alias("b")).select(
-        F.col("node").alias("a"), "b"), "pairs")
+    first = stage_table(leader_pairs(lists, nodes, percent), "pairs")
     links = stage_table(verify(first, nodes, known, words, percent), "links")
     roots = stage_table(components(links), "roots")
+    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    # Pairs across components: members outside a list's largest component, with every member of another one.
-    placed = lists.drop("leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("token", "root").count()
-    main = sizes.groupBy("token").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("_roots"))
-    mixed = stage_table(placed.join(main.where("_roots > 1").drop("_roots"), "token"), "mixed")
-    outside = mixed.where("root != main")
-    inside = mixed.select("token", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"),
-                          F.col("_at").alias("_at_b"), F.col("root").alias("root_b"))
-    across = outside.join(inside, "token").where("root != root_b and (root_b = main or node < node_b)").where(similar)
-    # The first shingle that a linked pair shares lies in the single-match part of both prefixes.
-    across = across.where(f"_at <= n - {need} and _at_b <= n_b - {need}")
-    across = stage_table(across.select(
-        F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "across")
+    mixed = stage_table(mixed_lists(lists, roots), "mixed")
+    across = list_pairs(mixed, percent)
+    crowded = stage_table(crowded_leaders(mixed, percent), "crowded")
+    if not crowded.isEmpty():
+        common = stage_table(references(crowded, nodes, known, words), "references")
+        work = _Differences(words, sketch)
+        differences = stage_table(measured(_paired(crowded, nodes, known, work, work.kind, common), percent), "differences")
+        near = differences.where("close and node != nearest").select(F.col("node").alias("a"), F.col("nearest").alias("b"))
+        links = links.unionByName(near)
+        roots = stage_table(components(links), "roots")
+        links = links.unionByName(stage_table(difference_links(differences, roots, percent), "links"))
+
+    # A pair needs the smaller m of the two in the whole prefixes.
+    across = stage_table(across.join(seen.distinct(), ["a", "b"], "left_anti"), "across")
     whole = live.join(nodes.select("node", "doc_id"), ["node", "doc_id"]).select("node", "m", "prefix")
-    across = across.join(whole.toDF("a", "m", "prefix"), "a").join(whole.toDF("b", "m_b", "prefix_b"), "b").where(
+    second = across.join(whole.toDF("a", "m", "prefix"), "a").join(whole.toDF("b", "m_b", "prefix_b"), "b").where(
         F.size(F.array_intersect("prefix", "prefix_b")) >= F.least("m", "m_b")).select("a", "b").distinct()
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stage_table(across.join(seen, ["a", "b"], "left_anti"), "pairs")
     more = stage_table(verify(second, nodes, known, words, percent), "links")
     roots = components(links.unionByName(more))
 
@@ -252,3 +437,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     # Rows without a set stay out of the join, where they would all meet.
     return rows.where(F.col("node").isNotNull()).join(named, "node", "left").select("doc_id", "n_shingles", own).unionByName(
         rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def oracle(words: int, percent: int) -> str:
+    """DuckDB SQL for :func:`jaccard_components` of ``documents``: lists of shingles, links, and what they reach."""
+    return rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + {words - 1}], ' ') FOR i IN range(1, len(w) - {words - 2})]) END AS s FROM split),
+items AS (SELECT doc_id, unnest(s) AS t, len(s) AS n FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.root)
+SELECT doc_id, len(s) AS n_shingles, min(root) AS component_id FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, len(s)"""
