@@ -145,3 +145,19 @@ def digests(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
     return ordered.select("conv_id", "ids", "loss_mask").mapInArrow(
         run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
              "formatted_chars long")
+
+
+def oracle(extra: str) -> str:
+    """DuckDB SQL for the digests of ``conversations`` and of two more turns whose text is ``extra``."""
+    quoted = extra.replace("'", "''")
+    template = sum(map(len, CONTROL))
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{quoted}' UNION ALL SELECT -7, 1, 'assistant', '{quoted}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum({template} + length(regexp_replace(role, '(\\|### |</turn>|:)', '\\\1', 'g'))
+      + length(regexp_replace(text, '(\\|### |</turn>)', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""

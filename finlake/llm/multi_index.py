@@ -32,6 +32,8 @@ CENTROIDS = 64
 RECALL = 0.94
 #: Queries of the calibration.
 TRIALS = 192
+#: Pairs that are multiplied at once.
+PAIRS = 1 << 15
 
 
 @dataclass
@@ -191,9 +193,23 @@ def _search(valid: DataFrame, k: int, every: int) -> DataFrame:
     return search_blocks(entries, asked, _reranker(k), "double", k)
 
 
+def row_scores(q: np.ndarray, x: np.ndarray, who: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, each summed in one order: equal vectors have equal scores in any block."""
+    out = np.empty(len(who))
+    for i in range(0, len(who), PAIRS):
+        here = slice(i, i + PAIRS)
+        out[here] = (q[who[here]] * x[at[here]]).sum(axis=1)
+    return out
+
+
 def _reranker(k: int):
     def rerank(entries: pa.Table, queries: pa.Table) -> pa.Table:
-        """Inner products of every query with the entries of the cells it visits, cell by cell."""
+        """Inner products of every query with the entries of the cells it visits, cell by cell.
+
+        A matrix product, whose digits depend on the shape of the block,
+        chooses the candidates, with a margin for its rounding; their scores
+        come from :func:`row_scores`.
+        """
         none = as_table([], [], [], pa.float64())
         if not entries.num_rows or not queries.num_rows:
             return none
@@ -211,6 +227,9 @@ def _reranker(k: int):
         by_cell = np.argsort(visited, kind="stable")
         begin = np.searchsorted(visited[by_cell], used)
         end = np.searchsorted(visited[by_cell], used, side="right")
+        # Twice what either way of summing may be off.
+        lengths = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
+        margin = 4 * x.shape[1] * np.finfo(float).eps * lengths
         least = np.full(len(q), -np.inf)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -219,9 +238,9 @@ def _reranker(k: int):
             if not len(who):
                 continue
             here = slice(first[i], stops[i])
-            scores = q[who] @ x[here].T
-            a, b = np.nonzero((scores >= least[who][:, None]) & (q_ids[who][:, None] != ids[here][None, :]))
-            kept.append((who[a], ids[here][b], scores[a, b]))
+            rough = q[who] @ x[here].T
+            a, b = np.nonzero((rough >= (least - margin)[who][:, None]) & (q_ids[who][:, None] != ids[here][None, :]))
+            kept.append((who[a], ids[here][b], row_scores(q, x, who[a], first[i] + b)))
             waiting += len(a)
             if waiting > 40 * k * len(q):
                 kept = [_top(kept, k)]

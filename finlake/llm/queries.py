@@ -103,4 +103,10 @@ QUERIES: dict[str, Query] = {
     "op13_simhash": op13_simhash,
 }
 
-ORACLE: dict[str, str] = {"op5_line_dedup": lines.oracle(), "op11_filter_audit": filter_audit.oracle()}
+ORACLE: dict[str, str] = {
+    "op4_threshold_search": threshold_search.oracle(),
+    "op5_line_dedup": lines.oracle(),
+    "op6_jaccard_join": jaccard.oracle(words=4, percent=85),
+    "op8_chat_format": chat.oracle(AWKWARD),
+    "op11_filter_audit": filter_audit.oracle(),
+}

@@ -161,3 +161,16 @@ def exact_top_k(rows: DataFrame, k: int = 20, every: int = 20, scale: float = 64
         found = part if found is None else found.unionByName(part)
     return found if found is not None else rows.sparkSession.createDataFrame(
         [], "query_id long, rank int, vec_id long, score long")
+
+
+def oracle(k: int = 20, every: int = 20, scale: int = 64) -> str:
+    """DuckDB SQL for :func:`exact_top_k` of ``embeddings``, whose sums stay within the integers of a double."""
+    return f"""
+WITH vectors AS (
+  SELECT vec_id, [floor({scale} * c::DOUBLE) FOR c IN embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+  FROM vectors q JOIN vectors v ON q.vec_id % {every} = 0 AND q.vec_id <> v.vec_id AND len(q.x) = len(v.x))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= {k}"""

@@ -1,9 +1,12 @@
 """Both vector searches against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from finlake.llm import multi_index, threshold_search, vectors
+from finlake.llm.queries import ORACLE, QUERIES
+from tests.oracle import SF_DIR, compare
 
 NAN, INF = float("nan"), float("inf")
 
@@ -121,3 +124,39 @@ def test_visits_follow_summed_scores():
 def test_best_rows():
     best = vectors.best_rows(np.array([1, 1, 0, 1]), np.array([9, 3, 5, 4]), np.array([2.0, 2.0, 1.0, 7.0]), 2)
     assert best.tolist() == [2, 3, 1]
+
+
+def test_equal_vectors_score_alike_in_any_layout():
+    """One vector many times, in blocks of many shapes: one score for a query, ties to the smaller ids."""
+    rng = np.random.default_rng(6)
+    one, q = rng.normal(size=64), rng.normal(size=(9, 64))
+    seen = set()
+    for n in (1, 3, 7, 64, 100, 257, 1000):
+        for queries in (1, 4, 9):
+            x = np.vstack([np.tile(one, (n, 1)), rng.normal(size=(n, 64)) / 100])
+            cells = np.repeat([0, 1], n)
+            ids = rng.permutation(2 * n) + 1000
+            entries = pa.table({"vec_id": ids, "vec": pa.array(x.tolist()), "cell": cells})
+            asked = pa.table({"query_id": np.arange(queries), "vec": pa.array(q[:queries].tolist()), "cells": pa.array([[0, 1]] * queries)})
+            got = multi_index._reranker(5)(entries, asked).to_pandas()
+            copies = set(ids[:n].tolist())
+            for i, rows in got.groupby("query_id"):
+                alike = rows[rows.vec_id.isin(copies)]
+                seen |= {(i, s) for s in alike.score}
+                if len(alike) and q[i] @ one > 1:
+                    assert alike.vec_id.tolist() == sorted(copies)[:5]
+    assert len(seen) == len({i for i, _ in seen})
+
+
+def test_recall_on_the_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is not None]
+    want = brute(rows, 20, 20, no_zero=True)
+    got = multi_index.nearest_neighbours(df).collect()
+    hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+@pytest.mark.parametrize("name", ["op4_threshold_search", "op6_jaccard_join", "op8_chat_format"])
+def test_queries_equal_their_sql(spark, con, name):
+    assert compare(QUERIES[name](spark, SF_DIR), con, ORACLE[name]) is None
