@@ -280,22 +280,26 @@ def _similar(percent: int) -> str:
 
 
 def shingle_lists(live: DataFrame) -> DataFrame:
-    """(``token``, ``node``, ``n``, ``m``, ``hub``, ``_at``, ``leader``) of the prefix tokens that several sets have."""
+    """(``token``, ``node``, ``n``, ``m``, ``hub``, ``_at``, ``leader``, ``n_b``, ``m_b``): prefix tokens that several sets have.
+
+    The leader of a list comes with its size and matches, so that no join on it is needed.
+    """
     entries = live.select(F.posexplode("prefix").alias("_at", "token"), "node", "n", "m", "hub")
     # Lists of one set hold no pair, and most lists do.
     leaders = entries.groupBy("token").agg(
-        F.min("node").alias("_first"), F.max("node").alias("_last"), F.max_by("node", "hub").alias("leader"))
-    leaders = leaders.where("_first != _last").select("token", "leader")
+        F.min("node").alias("_first"), F.max("node").alias("_last"),
+        F.max(F.struct("hub", "node", "n", "m")).alias("_leader"))
+    leaders = leaders.where("_first != _last").select(
+        "token", F.col("_leader.node").alias("leader"), F.col("_leader.n").alias("n_b"), F.col("_leader.m").alias("m_b"))
     return entries.join(leaders, "token").dropDuplicates(["token", "node"])
 
 
-def leader_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """(``a``, ``b``): each set and the leader that it shares the most prefix tokens with, if enough."""
-    other = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
-    shared = lists.where("node != leader").join(other, "leader").where(_similar(percent)).where(
-        f"_at < n - {_need(percent)} + least(m, m_b)")
+    shared = lists.where("node != leader").where(_similar(percent)).where(f"_at < n - {_need(percent)} + least(m, m_b)")
     shared = shared.groupBy("node", "leader").agg(F.count("*").alias("k"), F.first(F.least("m", "m_b")).alias("m"))
-    return shared.where("k >= m").groupBy("node").agg(F.max_by("leader", "k").alias("b")).select(F.col("node").alias("a"), "b")
+    return shared.where("k >= m").groupBy("node").agg(F.max_by("leader", F.struct("k", "leader")).alias("b")).select(
+        F.col("node").alias("a"), "b")
 
 
 def mixed_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -403,7 +407,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("m").alias("m")), "nodes")
     lists = stage_table(shingle_lists(live), "lists")
 
-    first = stage_table(leader_pairs(lists, nodes, percent), "pairs")
+    first = stage_table(leader_pairs(lists, percent), "pairs")
     links = stage_table(verify(first, nodes, known, words, percent), "links")
     roots = stage_table(components(links), "roots")
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
