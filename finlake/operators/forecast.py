@@ -23,7 +23,6 @@ FEATURES = (
 GRID = {"n_estimators": (50, 100), "max_depth": (3, 5), "learning_rate": (0.05, 0.1)}
 SEED = 42
 LABEL = "revenue_sum"
-# Decimals kept in sums of hourly rates.
 
 
 def strip_names(df: DataFrame) -> DataFrame:

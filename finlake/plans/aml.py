@@ -10,7 +10,7 @@ from finlake.operators import casework as C
 from finlake.operators import quality as Q
 from finlake.operators import screening as S
 from finlake.operators.ordered import exact_median
-from finlake.plans.oracle_views import pr, with_views
+from finlake.plans.oracle_views import CLEANED, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import aml_raw, aml_tx, decisions, ground_truth
 from finlake.schemas import RAW_AML, RAW_AML_COLUMNS, assert_schema
@@ -298,8 +298,10 @@ _EVAL = """SELECT tp AS true_positives, fp AS false_positives, fn AS false_negat
 _P, _R = "coalesce(tp::DOUBLE/nullif(tp+fp,0),0e0)", "coalesce(tp::DOUBLE/nullif(tp+fn,0),0e0)"
 
 
-@query("evl1_joi4_evaluate", with_views(
-    _EVAL.format(p=pr(_P, 6), r=pr(_R, 6), f=pr(f"coalesce(2*{_P}*{_R}/nullif({_P}+{_R},0),0e0)", 6)), "flags", "ground_truth"))
+_METRICS = _EVAL.format(p=pr(_P, 6), r=pr(_R, 6), f=pr(f"coalesce(2*{_P}*{_R}/nullif({_P}+{_R},0),0e0)", 6))
+
+
+@query("evl1_joi4_evaluate", with_views(_METRICS, "flags", "ground_truth"))
 def _(spark, d):
     out = C.evaluate(_flags(spark, d)[1], ground_truth(spark, d))
     return out.withColumns({c: portable_round(c, 6) for c in ("precision", "recall", "f1")})
@@ -316,9 +318,10 @@ def _(spark, d):
     return tx.select("transaction_id", parse_ts(written).alias("ts"))
 
 
-@query("pip1_screen")
+@query("pip1_screen", with_views(_METRICS, "flags", "ground_truth", instead=CLEANED))
 def _(spark, d):
-    return C.screen(aml_raw(spark, d), ground_truth(spark, d), RULES)["metrics"]
+    out = C.screen(aml_raw(spark, d), ground_truth(spark, d), RULES)["metrics"]
+    return out.withColumns({c: portable_round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 @query("fn5_fn6_fn11_dates", with_views(

@@ -10,7 +10,7 @@ from finlake.operators import rules as R
 from finlake.plans.oracle_views import pct, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import paysim, paysim_from, table
-from finlake.session import new_path
+from finlake.session import new_path, stage_table
 from finlake.sources.sinks import validate_alerts
 from finlake.streaming import alerts as A
 from finlake.streaming.events import read_events
@@ -125,6 +125,15 @@ def _(spark, d):
     return R.score_transactions(_screened(spark, d)).drop("detected_at")
 
 
+@query("fn15_detected_at", with_views(f"SELECT transaction_id, rule_triggered, true AS in_run FROM ({_ALL_ALERTS})", "paysim"))
+def _(spark, d):
+    """Every alert is stamped between the start and the end of the run that wrote it."""
+    now = lambda: F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
+    start = now()
+    alerts = stage_table(R.score_transactions(_screened(spark, d)), "alerts")
+    return alerts.select("transaction_id", "rule_triggered", F.col("detected_at").between(start, now()).alias("in_run"))
+
+
 @query("agg24_alerts_per_rule", with_views(
     f"SELECT rule_triggered, count(*) AS alerts FROM ({_ALL_ALERTS}) GROUP BY 1", "paysim"))
 def _(spark, d):

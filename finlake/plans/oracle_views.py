@@ -238,19 +238,27 @@ SELECT id, 49.2e0+(id%100)*0.001e0 AS lat, -123.13e0+(id//100)*0.001e0 AS lon
 FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)""")
 
 
-def with_views(body: str, *names: str, recursive: str = "") -> str:
-    """``body`` preceded by the definitions of the named views and what they need."""
+#: The clean rows of the messy export, in place of the transactions that are clean from the start.
+CLEANED = {"aml_tx": (("aml_tagged",), """
+SELECT transaction_id, account_id, ts, amt AS amount, trim(transaction_type) AS transaction_type,
+  trim(origin_country) AS origin_country, trim(destination_country) AS destination_country
+FROM aml_tagged WHERE amt IS NOT NULL AND ts IS NOT NULL""")}
+
+
+def with_views(body: str, *names: str, recursive: str = "", instead: dict[str, tuple[tuple[str, ...], str]] | None = None) -> str:
+    """``body`` preceded by the definitions of the named views and what they need; ``instead`` replaces some of them."""
     ordered: list[str] = []
+    views = VIEWS | (instead or {})
 
     def need(name: str) -> None:
-        for dep in VIEWS[name][0]:
+        for dep in views[name][0]:
             need(dep)
         if name not in ordered:
             ordered.append(name)
 
     for name in names:
         need(name)
-    ctes = [f"{n} AS ({VIEWS[n][1].strip()})" for n in ordered]
+    ctes = [f"{n} AS ({views[n][1].strip()})" for n in ordered]
     if recursive:
         ctes.append(recursive)
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {body.strip()}"
