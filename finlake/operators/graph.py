@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlake.session import bucketed, materialise
+from finlake.session import bucketed, growing, materialise, watched
 
 # Rounds after which the union of deltas is rewritten as one table.
 CONSOLIDATE = 10
+# A round costs more than repeated relaxations: buckets of so many times the longest road.
+ROADS_IN_BUCKET = 2
 
 
 def min_edges(edges: DataFrame) -> DataFrame:
@@ -170,33 +172,75 @@ def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
         keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "length")
 
 
-def shortest_paths(edges: DataFrame, sources: Sequence[int]) -> DataFrame:
+def _relaxed(nodes: DataFrame, roads: DataFrame) -> DataFrame:
+    """What ``nodes`` offer to the ends of their roads."""
+    return nodes.join(roads, nodes["node"] == roads["src"]).select(
+        "source", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
+        (F.col("hops") + 1).alias("hops"), F.col("src").alias("pred"))
+
+
+def _best_offer(offers: DataFrame) -> DataFrame:
+    """Per source and node the shortest offer, of equal ones that with fewest roads, then from the smallest id.
+
+    ``since`` is the round in which that distance and number of roads came up first.
+    """
+    best = offers.groupBy("source", "node").agg(
+        F.min(F.struct("dist", "hops", "pred")).alias("b"), F.min(F.struct("dist", "hops", "since")).alias("s"))
+    return best.select("source", "node", "b.dist", "b.hops", "b.pred", "s.since")
+
+
+def shortest_paths(edges: DataFrame, sources: Sequence[int], delta: float | None = None) -> DataFrame:
     """Distance and predecessor from each source to every node it reaches.
 
-    Columns source, node, dist, pred; lengths must not be negative. One round
-    relaxes the edges out of all nodes improved in the round before.
+    Columns source, node, dist, pred; lengths must not be negative. Of equally
+    short paths those with fewest roads count, then the smallest predecessor.
+
+    Delta-stepping: nodes with an offer wait until the nearest of them is
+    less than ``delta`` closer than they are. The nodes of such a bucket are
+    relaxed round by round over roads that stay within it; then they are
+    final, are added to a table bucketed like the offers, and relax the roads
+    that lead out of the bucket, once. A round shuffles only nodes of its
+    bucket and their offers. ``delta`` decides on work, not on results: small
+    ones repeat fewer relaxations, large ones take fewer rounds. By default
+    it is ROADS_IN_BUCKET times the longest road.
     """
     spark = edges.sparkSession
     id_type = edges.schema["src"].dataType
     ids = list(dict.fromkeys(sources))
-    state = materialise(spark.createDataFrame([(i,) for i in ids], "source long").select(
+    waiting = spark.createDataFrame([(i,) for i in ids], "source long").select(
         F.col("source").cast(id_type).alias("source"), F.col("source").cast(id_type).alias("node"),
-        F.lit(0.0).alias("dist"), F.lit(None).cast(id_type).alias("pred"), F.lit(0).alias("since")))
-    turn = 0
-    with bucketed(min_edges(edges), "src") as roads:
+        F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast(id_type).alias("pred"))
+    key = ["source", "node"]
+    with bucketed(min_edges(edges), "src") as roads, growing(spark, key) as final:
+        if delta is None:
+            delta = ROADS_IN_BUCKET * (roads.agg(F.max("length")).first()[0] or 1.0)
+        if not delta > 0:
+            raise ValueError("delta must be positive")
+
+        def unsettled(offers: DataFrame) -> DataFrame:
+            """The best offers, without those to final nodes, which come too late."""
+            best = _best_offer(offers)
+            return best if final.rows is None else best.join(final.rows.select(key), key, "left_anti")
+
         while True:
-            active = state.where(F.col("since") == turn)
-            turn += 1
-            offers = active.join(roads, active["node"] == roads["src"]).select(
-                "source", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
-                F.col("src").alias("pred"), F.lit(turn).alias("since"))
-            # On equal distance the earlier round stays, so settled nodes are not spread again.
-            best = F.min(F.struct("dist", "since", "pred"))
-            state = materialise(
-                state.unionByName(offers).groupBy("source", "node").agg(best.alias("b"))
-                .select("source", "node", "b.dist", "b.pred", "b.since"))
-            if state.where(F.col("since") == turn).isEmpty():
-                return state.drop("since")
+            waiting, low = watched(unsettled(waiting.withColumn("since", F.lit(0))), F.min("dist"))
+            if low is None:
+                break
+            # Not a multiple of delta: no sum with a road of at least delta is rounded to below it.
+            limit = low + delta
+            near, turn = waiting.where(F.col("dist") < limit), 0
+            light = roads.where(F.col("length") < delta)
+            while True:
+                offers = _relaxed(near.where(F.col("since") == turn), light).where(F.col("dist") < limit)
+                turn += 1
+                near, newest = watched(unsettled(near.unionByName(offers.withColumn("since", F.lit(turn)))), F.max("since"))
+                if newest < turn:
+                    break
+            near = near.drop("since")
+            final.add(near)
+            waiting = waiting.drop("since").unionByName(_relaxed(near, roads)).where(F.col("dist") >= limit)
+        rows = waiting if final.rows is None else final.stored()
+        return rows.select("source", "node", "dist", "pred")
 
 
 def distance_matrix(paths: DataFrame, hotspots: Sequence[int]) -> DataFrame:

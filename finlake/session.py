@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -51,6 +51,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def watched(df: DataFrame, figure: Column) -> tuple[DataFrame, object]:
+    """:func:`materialise` and an aggregate of the rows, taken while they are written.
+
+    Only for aggregates that repeated rows leave as they are (min, max): a task that runs twice may count twice.
+    """
+    seen = Observation()
+    return materialise(df.observe(seen, figure.alias("figure"))), seen.get["figure"]
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -83,6 +92,36 @@ def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+class GrowingTable:
+    """Rows added by and by to a table bucketed by ``keys``: joins on them do not shuffle it. ``rows`` is None while it has none."""
+
+    def __init__(self, spark: SparkSession, keys: Sequence[str]) -> None:
+        self.rows: DataFrame | None = None
+        self.keys, self.name, self.path = list(keys), f"finlake_{uuid.uuid4().hex}", new_path(spark, "growing")
+
+    def add(self, df: DataFrame) -> None:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        (
+            df.repartition(n, *self.keys).write.format("parquet").mode("append").bucketBy(n, *self.keys)
+            .option("path", self.path).saveAsTable(self.name)
+        )
+        self.rows = df.sparkSession.table(self.name)
+
+    def stored(self) -> DataFrame:
+        """The rows by their files, which stay when the table leaves the catalogue."""
+        return self.rows.sparkSession.read.schema(self.rows.schema).parquet(self.path)
+
+
+@contextmanager
+def growing(spark: SparkSession, keys: Sequence[str]) -> Iterator[GrowingTable]:
+    """A :class:`GrowingTable` that leaves the catalogue with the block."""
+    table = GrowingTable(spark, keys)
+    try:
+        yield table
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/finlake/{spark.sparkContext.applicationId}"
 

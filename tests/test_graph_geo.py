@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from finlake.functions.geodesy import add_latlon
 from finlake.operators import geo as G
 from finlake.operators import graph as N
+from finlake.session import GrowingTable
 
 
 def _edges(spark, rows):
@@ -116,6 +117,55 @@ def test_shortest_paths_matrix_tour_route(spark):
     assert s["metres"] == pytest.approx(total) and s["coverage_pct"] == pytest.approx(len(walk) * 10.0)
 
 
+def _labels(rows, s):
+    """(dist, pred) by Bellman-Ford on (dist, roads), ties to the smallest predecessor."""
+    best, changed = {s: (0.0, 0, None)}, True
+    while changed:
+        changed = False
+        for a, b, w in rows:
+            if a in best and a != b:
+                offer = (best[a][0] + w, best[a][1] + 1, a)
+                if b not in best or offer[:2] < best[b][:2] or (offer[:2] == best[b][:2] and b != s and a < best[b][2]):
+                    best[b], changed = offer, True
+    return {v: (d, p) for v, (d, _, p) in best.items()}
+
+
+@pytest.mark.parametrize("delta", [0.5, 3.0, 7.0, 1000.0, None])
+def test_shortest_paths_any_delta(spark, delta):
+    rnd = random.Random(5)
+    # Short whole lengths, so that many paths tie; roads of length 0 and two nodes out of reach.
+    rows = [(rnd.randrange(16), rnd.randrange(16), float(rnd.randrange(0, 6))) for _ in range(50)] + [(30, 31, 1.0)]
+    got = {(r["source"], r["node"]): (r["dist"], r["pred"]) for r in N.shortest_paths(_edges(spark, rows), [2, 30], delta).collect()}
+    assert got == {(s, v): label for s in (2, 30) for v, label in _labels(rows, s).items()}
+
+
+def test_shortest_paths_rounds_and_plan(spark, monkeypatch):
+    plans, added = [], []
+    watched, add = N.watched, GrowingTable.add
+
+    def seen(df, figure):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return watched(df, figure)
+
+    monkeypatch.setattr(N, "watched", seen)
+    monkeypatch.setattr(GrowingTable, "add", lambda self, df: (added.append(1), add(self, df)))
+    chain = _edges(spark, [(i, i + 1, 1.0) for i in range(12)])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paths = N.shortest_paths(chain, [0], delta=5.0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r["node"]: r["dist"] for r in paths.collect()} == {i: float(i) for i in range(13)}
+    assert len(added) == 3 and len(plans) == 13 + 3 + 1
+    # A round within the last bucket deals its nodes to the roads and the offers to the nodes; final rows and roads stay.
+    assert plans[-2].count("Exchange hashpartitioning") == 2 and plans[-2].count("Bucketed: true") == 2
+    with pytest.raises(ValueError):
+        N.shortest_paths(chain, [0], delta=0.0)
+    assert N.shortest_paths(chain, [0], delta=5.0).where("node = 12").first()["pred"] == 11
+    assert N.shortest_paths(chain.limit(0), [0]).collect() == [(0, 0, 0.0, None)]
+
+
 def test_unreachable_and_mutual(spark):
     edges = _edges(spark, [(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0), (5, 4, 1.0), (4, 6, 1.0), (6, 4, 1.0)])
     matrix = N.distance_matrix(N.shortest_paths(edges, [1, 2, 3, 4, 5, 6]), [1, 2, 3, 4, 5, 6])
