@@ -42,12 +42,14 @@ def write_alerts(batch: DataFrame, batch_id: int, path: str) -> None:
         history = _stored(fresh, path)
         rows = fresh
         if history is not None:
-            first, last = fresh.agg(F.min("event_month"), F.max("event_month")).first()
-            others = history.where(F.col("event_month").between(first, last) & (F.col("batch_id") != batch_id)).select(*keys)
+            # No more rows than the calendar has months; the list prunes the partitions that are read.
+            months = [r[0] for r in fresh.select("event_month").distinct().collect()]
+            others = history.where(F.col("event_month").isin(months) & (F.col("batch_id") != batch_id)).select(*keys)
             known = others.join(fresh.select(*keys), keys, "left_semi").distinct()
             rows = fresh.join(known, keys, "left_anti")
         (
-            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).repartition("event_month")
+            # By size: the one month of a live batch goes to several tasks when it is large.
+            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).hint("rebalance", "event_month")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("event_month", "batch_id").parquet(path)
         )

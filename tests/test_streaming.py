@@ -129,3 +129,17 @@ def test_live_trigger_is_configurable(spark, tmp_path, once):
     query = A.alert_query(read_events(spark.readStream.text(str(src))), str(tmp_path / "o"), str(tmp_path / "c"), once=once, name="once")
     A.run_available(query, 120)
     assert query.exception() is None
+
+
+def test_sink_skips_the_months_between(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    schema = "transaction_id string, rule_triggered string, timestamp string"
+
+    def batch(*rows):
+        return spark.createDataFrame([(i, "r", t) for i, t in rows], schema)
+
+    A.write_alerts(batch(("old", "2024-03-01T00:00:00"), ("new", "2026-01-01T00:00:00"), ("none", None)), 1, path)
+    # Without a time and of 2026: what lies between them is neither read nor changed.
+    A.write_alerts(batch(("old", "2026-01-02T00:00:00"), ("new", "2026-01-03T00:00:00"), ("none", None), ("more", None)), 2, path)
+    rows = sorted((r["transaction_id"], r["event_month"], r["batch_id"]) for r in spark.read.parquet(path).collect())
+    assert rows == [("more", "0000-00", 2), ("new", "2026-01", 1), ("none", "0000-00", 1), ("old", "2024-03", 1), ("old", "2026-01", 2)]
