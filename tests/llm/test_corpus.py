@@ -187,16 +187,14 @@ def test_flight_keeps_totals_and_chances():
     assert ((same > 0) & (same < 1)).sum() <= 1
 
 
-def test_mixing(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 64)
+def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randint(1, 80), "en", rng.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(1500)]
     rows += [(2000, None, "en", "a", 0), (2001, "", "en", "empty", 0), (7, "w w", "en", "b", 0), (None, "w", "en", "c", 0)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "size")
-    got = mixing.balanced_sample  # the block size is read when it is called
-    assert got is not None
-    out = mixing.mix(docs).collect()
-    again = mixing.mix(docs.repartition(13)).collect()
+    # Small blocks, so that sources take several rounds.
+    out = mixing.mix(docs, block=64).collect()
+    again = mixing.mix(docs.repartition(13), block=64).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     assert sorted(out, key=key) == sorted(again, key=key) and len(out) == len(rows)
     totals = defaultdict(lambda: [0, 0, 0.0, 0])

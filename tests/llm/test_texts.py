@@ -145,8 +145,9 @@ def test_turns_round_trip(text, role):
 
 
 def test_chat_query(spark):
+    rng = random.Random(6)
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (2, 5, "assistant", "t"), (2, 5, "assistant", "t"),
-            *[(3, i, random.choice(["user", "assistant"]), f"{i} \\</turn>") for i in range(300)]]
+            *[(3, i, rng.choice(["user", "assistant"]), f"{i} \\</turn>") for i in range(300)]]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
     formatted = chat.format_turns(turns, BYTES)
     got = {r.conv_id: r for r in chat.digests(formatted, BYTES).collect()}
