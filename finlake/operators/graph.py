@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finlake.session import bucketed, growing, materialise, watched
+from finlake.operators.skew import attach
+from finlake.session import bucketed, growing, materialise, stage_table, watched
 
 # Rounds after which the union of deltas is rewritten as one table.
 CONSOLIDATE = 10
@@ -54,17 +55,123 @@ def _within(links: DataFrame, ids: DataFrame) -> DataFrame:
         keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def _trim(links: DataFrame) -> tuple[DataFrame, int]:
-    """Drop links that end in nodes without in- or out-links until none is left: no cycle passes through them."""
+def _peel(links: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Drop links that end in nodes without in- or out-links: no cycle passes through them."""
+    return _within(links, degrees.where((F.col("ins") > 0) & (F.col("outs") > 0)))
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    ends = links.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        links.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return ends.groupBy("id").agg(F.sum("o").alias("outs"), F.sum("i").alias("ins"))
+
+
+def _jump(steps: DataFrame) -> DataFrame:
+    """Follow pointers (id, way, at, open) to their ends by doubling them.
+
+    ``open`` says that another pointer of the same way begins at ``at``. After
+    round k a pointer spans 2^k steps, so those still open after log2 of their
+    number run in circles and stay so. Only open pointers are joined: in a
+    chain they end in different nodes, so no key is hot. ``top`` is the
+    greatest id passed.
+    """
+    steps = materialise(steps.withColumn("top", F.greatest("id", "at")))
+    size, span = steps.count(), 1
+    while span <= size and not steps.where("open").isEmpty():
+        ahead = steps.select(F.col("id").alias("at"), "way", F.col("at").alias("to"), F.col("open").alias("more"),
+                             F.col("top").alias("high"))
+        moved = steps.where("open").join(ahead, ["at", "way"]).select(
+            "id", "way", F.col("to").alias("at"), F.col("more").alias("open"), F.greatest("top", "high").alias("top"))
+        steps = materialise(steps.where("NOT open").unionByName(moved))
+        span *= 2
+    return steps
+
+
+def _fold_mutual(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Join nodes that link to each other: (links between the joined nodes, folds).
+
+    Each node points to the greatest of its mutual neighbours above it; what
+    hangs together by these pointers is one node from now on.
+    """
+    pairs = links.groupBy(F.least("src", "dst").alias("id"), F.greatest("src", "dst").alias("at")).agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") == 2)
+    up = materialise(pairs.groupBy("id").agg(F.max("at").alias("at")))
+    if up.isEmpty():
+        return links, up.select("id", F.col("at").alias("head"), F.col("at").alias("tail"))
+    known = up.select(F.col("id").alias("at"), F.lit(True).alias("open"))
+    up = _jump(attach(up.withColumn("way", F.lit(0)), known, ["at"], "left").withColumn(
+        "open", F.coalesce("open", F.lit(False))))
+    ends = links
+    for end in ("src", "dst"):
+        ends = attach(ends, up.select(F.col("id").alias(end), F.col("at").alias("_at")), [end], "left").withColumn(
+            end, F.coalesce("_at", end)).drop("_at")
+    ends = ends.where(F.col("src") != F.col("dst")).distinct()
+    return stage_table(ends, "links"), up.select("id", F.col("at").alias("head"), F.col("at").alias("tail"))
+
+
+def _fold_chains(links: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace each chain of nodes with one link in and one out by a link between its ends: (links, folds).
+
+    A circle of such nodes is a component of its own and folds into its greatest id.
+    """
+    inner = materialise(degrees.where((F.col("ins") == 1) & (F.col("outs") == 1)).select("id"))
+    if inner.isEmpty():
+        return links, inner.select("id", F.col("id").alias("head"), F.col("id").alias("tail"))
+    known = inner.withColumn("open", F.lit(True))
+    at = known.withColumnRenamed("id", "at")
+    ways = links.select(F.col("src").alias("id"), F.lit(1).alias("way"), F.col("dst").alias("at")).unionByName(
+        links.select(F.col("dst").alias("id"), F.lit(-1).alias("way"), F.col("src").alias("at")))
+    steps = attach(ways.join(inner, "id", "left_semi"), at, ["at"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    ends = _jump(steps)
+    top = F.max("top")
+    folds = materialise(ends.groupBy("id").agg(
+        F.when(F.max("open"), top).otherwise(F.max(F.when(F.col("way") == -1, F.col("at")))).alias("head"),
+        F.when(F.max("open"), top).otherwise(F.max(F.when(F.col("way") == 1, F.col("at")))).alias("tail"),
+    ))
+    bridges = folds.where(F.col("head") != F.col("tail")).select(F.col("head").alias("src"), F.col("tail").alias("dst"))
+    rest = links.join(inner.withColumnRenamed("id", "src"), "src", "left_anti").join(
+        inner.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return stage_table(rest.unionByName(bridges).distinct(), "links"), folds.where(F.col("id") != F.col("head"))
+
+
+def _reduce(links: DataFrame, folds: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Peel dead ends and fold mutual links and chains until nothing changes: (links, their number).
+
+    Long chains and trees take a number of rounds that grows with the
+    logarithm of their depth. ``folds`` gets tables of (id, head, tail): the
+    node is in a component with others just if ``head`` and ``tail`` are in one.
+    Folded links are written as tables: over checkpoints alone the time to
+    plan a round multiplied with every fold, whatever the number of rows.
+    """
     n = links.count()
-    while True:
-        live = links.select(F.col("src").alias("id")).distinct().join(
-            links.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        links = materialise(_within(links, live))
+    while n:
+        links = materialise(_peel(links, _degrees(links)))
         left = links.count()
-        if left == n:
-            return links, left
+        # Peeling goes on alone while it pays; what it leaves slowly is long and narrow, which folding shortens.
+        if left and left > n - n / 8:
+            links, mutual = _fold_mutual(links)
+            links, chains = _fold_chains(links, _degrees(links))
+            folds += [mutual, chains]
+            left = links.count()
+            if left == n:
+                break
         n = left
+    return links, n
+
+
+def _unfold(labels: DataFrame, folds: Sequence[DataFrame]) -> DataFrame:
+    """Labels of all nodes, those folded away included, each component named by its greatest id."""
+    for folded in reversed(folds):
+        if folded.isEmpty():
+            continue
+        kept = labels.join(folded.select("id"), "id", "left_anti")
+        of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"at_{end}"))
+        both = attach(attach(folded, of("head"), ["head"]), of("tail"), ["tail"])
+        same = F.col("at_head") == F.col("at_tail")
+        labels = materialise(kept.unionByName(
+            both.select("id", F.when(same, F.col("at_head")).otherwise(F.col("id")).alias("component"))))
+    names = labels.groupBy("component").agg(F.max("id").alias("_name")).where(F.col("_name") != F.col("component"))
+    return attach(labels, names, ["component"], "left").select("id", F.coalesce("_name", "component").alias("component"))
 
 
 def _colours(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -103,23 +210,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def _components(edges: DataFrame, largest_only: bool) -> DataFrame:
     """Labels of all nodes; with ``largest_only`` only the largest component's label can be trusted.
 
-    First the component around the best-connected node, which on a road
-    network is nearly everything; then, for what is left, all components in
-    parallel by colouring: a node coloured by itself is a root, and its
-    component is what reaches it inside its colour. With ``largest_only`` it
-    stops once the rest is too small to hold a larger component.
+    Dead ends, mutual links and chains go first, in rounds that grow with the
+    logarithm of their depth. Of what is left comes the component around the
+    best-connected node, which on a road network is nearly everything; then
+    all others in parallel by colouring: a node coloured by itself is a root,
+    and its component is what reaches it inside its colour. With
+    ``largest_only`` it stops once the rest, with all folded nodes, is too
+    small to hold a larger component.
     """
     links = materialise(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
     every = materialise(
         edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
     found: list[DataFrame] = []
+    folds: list[DataFrame] = []
     best = 1
-    links, n_links = _trim(links)
+    links, n_links = _reduce(links, folds)
     if n_links:
-        degrees = links.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
-            links.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
         pivot = materialise(
-            degrees.groupBy("id").agg((F.sum("o") * F.sum("i")).alias("d")).orderBy(F.desc("d"), "id").limit(1).select("id"))
+            _degrees(links).select("id", (F.col("outs") * F.col("ins")).alias("d")).orderBy(F.desc("d"), "id").limit(1).select("id"))
         back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         core = materialise(reachable(links, pivot).join(reachable(back, pivot), "id", "left_semi"))
         name = core.agg(F.max("id")).first()[0]
@@ -127,12 +235,12 @@ def _components(edges: DataFrame, largest_only: bool) -> DataFrame:
         best = core.count()
         links = links.join(core.withColumnRenamed("id", "src"), "src", "left_anti").join(
             core.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-        links, n_links = _trim(materialise(links))
+        links, n_links = _reduce(materialise(links), folds)
     while n_links:
         ids = materialise(
             links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct())
         # An equal-sized rival may still win the tie by its smaller id.
-        if largest_only and ids.count() < best:
+        if largest_only and ids.count() + sum(f.count() for f in folds) < best:
             break
         colour = _colours(links, ids)
         inside = materialise(_same_colour(links, colour))
@@ -140,16 +248,15 @@ def _components(edges: DataFrame, largest_only: bool) -> DataFrame:
         roots = colour.where(F.col("id") == F.col("colour")).select("id")
         part = materialise(reachable(back, roots).join(colour, "id").select("id", F.col("colour").alias("component")))
         found.append(part)
-        best = max(best, part.groupBy("component").count().agg(F.max("count")).first()[0])
         done = part.select("id")
-        links, n_links = _trim(materialise(
+        links, n_links = _reduce(materialise(
             inside.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(
-                done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")))
-    if not found:
-        return every.withColumn("component", F.col("id"))
-    cyclic = _union(found)
-    single = every.join(cyclic.select("id"), "id", "left_anti").withColumn("component", F.col("id"))
-    return cyclic.unionByName(single)
+                done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")), folds)
+    labels = every.withColumn("component", F.col("id"))
+    if found:
+        cyclic = _union(found)
+        labels = cyclic.unionByName(labels.join(cyclic.select("id"), "id", "left_anti"))
+    return _unfold(labels, folds)
 
 
 def largest_scc(edges: DataFrame) -> DataFrame:

@@ -65,6 +65,43 @@ def test_components(spark, seed, n, m):
     assert sorted(r["id"] for r in N.largest_scc(_edges(spark, rows)).collect()) == sorted(best)
 
 
+def _rounds(monkeypatch):
+    """Counts the tables written between rounds."""
+    seen, write = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df: seen.append(1) or write(df))
+    return seen
+
+
+# Mutual links fold to the local greatest ids, a third of a shuffled chain each time, so both ways take more rounds.
+@pytest.mark.parametrize("shape,n,most", [("one way", 4096, 40), ("circle", 4096, 40), ("both ways", 256, 60)])
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch, shape, n, most):
+    ids = list(range(n))
+    random.Random(5).shuffle(ids)
+    rows = [(a, b, 1.0) for a, b in zip(ids, ids[1:])]
+    if shape == "both ways":
+        rows += [(b, a, 1.0) for a, b, _ in rows]
+    if shape == "circle":
+        rows.append((ids[-1], ids[0], 1.0))
+    seen = _rounds(monkeypatch)
+    got = N.strong_components(_edges(spark, rows)).groupBy("component").count().orderBy(F.desc("count")).limit(2).collect()
+    assert len(seen) <= most
+    if shape == "one way":
+        assert [r["count"] for r in got] == [1, 1]
+    else:
+        assert [(r["component"], r["count"]) for r in got] == [(n - 1, n)]
+
+
+def test_chains_between_and_around_components(spark):
+    # Two circles with a chain from one to the other, a chain that leaves and comes back, a mutual pair on it, a tail.
+    rows = [(1, 2), (2, 3), (3, 1), (3, 10), (10, 11), (11, 12), (12, 20), (20, 21), (21, 22), (22, 20),
+            (1, 30), (30, 31), (31, 99), (99, 31), (31, 32), (32, 1), (22, 40), (40, 41), (41, 42)]
+    rows = [(a, b, 1.0) for a, b in rows]
+    reach = _reach(rows)
+    want = {u: max(v for v in reach[u] if u in reach[v]) for u in reach}
+    assert {r["id"]: r["component"] for r in N.strong_components(_edges(spark, rows)).collect()} == want
+    assert sorted(r["id"] for r in N.largest_scc(_edges(spark, rows)).collect()) == sorted(u for u in want if want[u] == 99)
+
+
 def test_three_cycles_and_ties(spark):
     rows = [(1, 2, 1.0), (2, 1, 1.0), (3, 4, 1.0), (4, 3, 1.0), (5, 6, 1.0), (6, 7, 1.0), (7, 5, 1.0), (2, 3, 1.0), (4, 5, 1.0)]
     labels = {r["id"]: r["component"] for r in N.strong_components(_edges(spark, rows)).collect()}
