@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from finlake.functions.numeric import portable_round
@@ -14,6 +15,7 @@ from finlake.session import new_path, stage_table
 from finlake.sources.sinks import validate_alerts
 from finlake.streaming import alerts as A
 from finlake.streaming.events import read_events
+from finlake.streaming.folder import read_folder
 
 _R1 = "(balance_orig_after=0 AND balance_orig_before>0)"
 _R2 = "(amount>200000)"
@@ -174,6 +176,77 @@ def _(spark, d):
     return spark.read.parquet(_alert_store(spark, d)).drop("detected_at", "created_at", "batch_id", "event_month")
 
 
+_LOST = 2
+
+
+def _remove(spark, folder, name):
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-*")
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(files):
+        system.delete(found.getPath(), False)
+
+
+@query("str3_start_and_loss", with_views(
+    f"""SELECT stream, stopped, count(transaction_id) AS events FROM (VALUES ('latest', false), ('earliest', false), ('strict', true)) s(stream, stopped)
+    LEFT JOIN (SELECT *, transaction_id::BIGINT%4 AS part FROM paysim WHERE {_SCREEN})
+      ON (stream='latest' AND part>=2) OR (stream='earliest' AND part<>{_LOST}) GROUP BY 1, 2""", "paysim"))
+def _(spark, d):
+    """Events that three streams of message files read, and whether they stopped at a loss.
+
+    Two of four parts of the messages are there when the first stream starts
+    at the latest position. The others start at the earliest one and lose the
+    files of a part after Spark logged the batch.
+    """
+    rows = paysim(spark, d)
+    part = F.col("transaction_id").cast("bigint") % 4
+    messages = stage_table(rows.select(part.alias("part"), F.to_json(F.struct(*rows.columns)).alias("value")), "messages")
+    folder = new_path(spark, "messages-in")
+
+    def deliver(*parts):
+        # Files of a part are named after it, so their names grow.
+        for p in parts:
+            messages.where(F.col("part") == p).select("value").write.mode("append").option(
+                "mapreduce.output.basename", f"{p:03d}").text(folder)
+
+    def drain(name, lose=False, **options):
+        out, checkpoint = outs[name]
+
+        def keep(batch, batch_id):
+            if lose:
+                _remove(spark, folder, f"{_LOST:03d}")
+            batch.select("transaction_id").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+        query = read_folder(spark, folder, **options).writeStream.foreachBatch(keep).option(
+            "checkpointLocation", checkpoint).start()
+        try:
+            query.processAllAvailable()
+        except StreamingQueryException as e:
+            if "LostFiles" not in str(e):
+                raise
+            return True
+        finally:
+            query.stop()
+        return False
+
+    outs = {name: (new_path(spark, name), new_path(spark, f"{name}-offsets")) for name in ("latest", "earliest", "strict")}
+    for out, _ in outs.values():
+        messages.where("false").select(F.lit("").alias("transaction_id")).write.parquet(f"{out}/batch=-1")
+    deliver(0, 1)
+    drain("latest")
+    deliver(2, 3)
+    stopped = {"latest": drain("latest")}
+    for name in ("earliest", "strict"):
+        if name == "strict":
+            deliver(_LOST)
+        stopped[name] = drain(name, lose=True, starting="earliest", position=f"{outs[name][1]}/position",
+                              fail_on_data_loss=name == "strict")
+    counts = [
+        spark.read.schema("transaction_id string").parquet(out).agg(F.count("transaction_id").alias("events")).select(
+            F.lit(name).alias("stream"), F.lit(stopped[name]).alias("stopped"), "events")
+        for name, (out, _) in outs.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query("str7_alert_counters", with_views(
     f"SELECT rule_triggered, count(*) AS alerts FROM ({_ALL_ALERTS}) GROUP BY 1", "paysim"))
 def _(spark, d):
