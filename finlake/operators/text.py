@@ -22,6 +22,8 @@ LAST_MESSAGES = 6
 # Queries and vectors, on average, that one matrix product compares.
 QUERIES_PER_BATCH = 1024
 VECTORS_PER_BLOCK = 4096
+# Pairs of a query and a candidate whose vectors are laid side by side.
+PAIRS_AT_ONCE = 16_384
 
 
 def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, key: str = "doc_id",
@@ -114,6 +116,19 @@ def _distances(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarra
     return np.sqrt(np.maximum(squares, 0))
 
 
+def _pair_distances(queries: np.ndarray, block: np.ndarray, who: np.ndarray, at: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs (who, at), each summed in one order: equal vectors get equal digits in any block."""
+    out = np.empty(len(who))
+    for low in range(0, len(who), PAIRS_AT_ONCE):
+        part = slice(low, low + PAIRS_AT_ONCE)
+        q, v = queries[who[part]], block[at[part]]
+        if metric == "cosine":
+            out[part] = 1.0 - (q * v).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
+        else:
+            out[part] = np.sqrt(((q - v) ** 2).sum(axis=1))
+    return out
+
+
 def _nearest(k: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The ``k`` best of one block of vectors for one batch of queries, ties to the smaller id."""
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
@@ -129,7 +144,7 @@ def _nearest(k: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
         # All up to the k-th, with room for the digits that the product loses, so ties are settled by id.
         room = 1e-6 * max(1.0, float(np.abs(v).max()) * v.shape[1], float(np.abs(q).max()) * v.shape[1])
         who, at = np.nonzero(dist <= np.partition(dist, last, axis=1)[:, last, None] + room)
-        exact = dist[who, at] if metric == "cosine" else np.sqrt(((q[who] - v[at]) ** 2).sum(axis=1))
+        exact = _pair_distances(q, v, who, at, metric)
         order = np.lexsort((at, exact, who))
         first = np.searchsorted(who[order], np.arange(len(q)))
         best = order[np.arange(len(order)) - first[who[order]] < k]

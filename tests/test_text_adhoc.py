@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import ParseException
 
@@ -81,6 +82,24 @@ def test_knn_brute_force(spark, monkeypatch, metric):
             assert [m[0] for m in mine] == [int(j) for j in sorted(range(300), key=lambda j: (d[j], j))[:4]]
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_equal_vectors_have_equal_distances_in_any_layout(metric):
+    rng = np.random.default_rng(4)
+    one, query = rng.normal(size=48), rng.normal(size=48)
+    seen = set()
+    for others, asked in ((0, 1), (1, 1), (6, 3), (37, 9), (120, 40)):
+        block = np.vstack([rng.normal(size=(others, 48)), np.tile(one, (5, 1))])
+        batch = np.vstack([rng.normal(size=(asked - 1, 48)), query])
+        tables = [pa.table({name: pa.array(range(len(m))), "embedding": pa.array(list(m))})
+                  for name, m in (("query_id", batch), ("vec_id", block))]
+        got = text._nearest(len(block), metric)(*tables).to_pandas()
+        mine = got[got.query_id == asked - 1]
+        copies = mine[mine.vec_id >= others]
+        assert list(copies.vec_id) == sorted(copies.vec_id) and len(copies) == 5
+        seen |= set(copies.dist)
+    assert len(seen) == 1
+
+
 def test_knn_leaves_out_what_has_no_distance(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]), (7, [1.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
