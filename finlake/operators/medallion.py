@@ -97,6 +97,47 @@ def gold_countries(df: DataFrame) -> DataFrame:
     ).orderBy("Country", F.desc("avg_net_assets"))
 
 
+# Grouping ids over (WealthTier, AgeGroup, Country): a set bit is a column left out.
+_TIER_ROWS, _AGE_ROWS, _COUNTRY_ROWS = 0b011, 0b101, 0b010
+_MEASURES = ("Net_Assets", "Portfolio_Return", "CreditScore", "InvestmentCount", "EstimatedSalary", "Diversification",
+             "Risk_Profile", "ForeignAssets", "NumProducts")
+
+
+def gold_groups(df: DataFrame) -> DataFrame:
+    """All groups of the three gold tables from one scan and one shuffle; ``level`` tells the table of a row.
+
+    A few rows per key, whatever the silver table holds: write it once and
+    split it with :func:`gold_split`.
+    """
+    mean = lambda c: F.avg(c).alias(f"mean_{c}")
+    return df.groupingSets(
+        [["WealthTier"], ["AgeGroup"], ["Country", "WealthTier"]], "WealthTier", "AgeGroup", "Country",
+    ).agg(F.grouping_id().cast("int").alias("level"), _n(), _churned(), *map(mean, _MEASURES))
+
+
+def gold_split(groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables by wealth tier, age group, and country with tier, as the functions above build each by itself."""
+    def table(level: int, *columns: str | Column) -> DataFrame:
+        return groups.where(F.col("level") == level).select(*columns)
+
+    mean = lambda c, name: F.col(f"mean_{c}").alias(name)
+    tiers = table(
+        _TIER_ROWS, "WealthTier", "total_customers", mean("Net_Assets", "avg_net_assets"),
+        mean("Portfolio_Return", "avg_portfolio_return"), mean("CreditScore", "avg_credit_score"),
+        mean("InvestmentCount", "avg_investments_held"), mean("EstimatedSalary", "avg_salary"), "total_churned",
+        mean("Diversification", "avg_diversification"))
+    ages = table(
+        _AGE_ROWS, "AgeGroup", "total_customers", mean("Net_Assets", "avg_net_assets"), mean("Portfolio_Return", "avg_return"),
+        mean("InvestmentCount", "avg_investments"), mean("Risk_Profile", "avg_risk_profile"),
+        mean("ForeignAssets", "avg_foreign_assets"), "total_churned")
+    countries = table(
+        _COUNTRY_ROWS, "Country", "WealthTier", "total_customers", mean("Net_Assets", "avg_net_assets"),
+        mean("Portfolio_Return", "avg_return"), mean("CreditScore", "avg_credit_score"),
+        mean("NumProducts", "avg_products_held"), "total_churned", mean("EstimatedSalary", "avg_salary"))
+    return (tiers.orderBy(F.desc("avg_net_assets")), ages.orderBy("AgeGroup"),
+            countries.orderBy("Country", F.desc("avg_net_assets")))
+
+
 def tier_report(gold: DataFrame) -> DataFrame:
     return gold.select(
         "WealthTier", "total_customers",

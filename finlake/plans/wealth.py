@@ -10,7 +10,7 @@ from finlake.operators import medallion as M
 from finlake.plans.oracle_views import near, pct, pr, with_views
 from finlake.plans.registry import query
 from finlake.plans.tables import bank_customers
-from finlake.session import new_path
+from finlake.session import new_path, stage_table
 from finlake.sources.sinks import write_table
 
 _CHURN = 'sum("Churn")::BIGINT'
@@ -76,6 +76,26 @@ def _(spark, d):
     return rounded(M.gold_countries(_silver(spark, d)), _COUNTRIES.split())
 
 
+@query("agg11_agg12_agg13_gold_tables", with_views(
+    f"""SELECT * FROM (SELECT 'tiers' AS gold, "WealthTier", NULL::VARCHAR AS "AgeGroup", NULL::VARCHAR AS "Country", total_customers,
+      avg_net_assets, avg_portfolio_return AS avg_return, total_churned FROM ({near('SELECT * FROM gold_tiers', _TIERS)})
+    UNION ALL SELECT 'ages', NULL, "AgeGroup", NULL, total_customers, avg_net_assets, avg_return, total_churned
+      FROM ({near('SELECT * FROM gold_ages', _AGES)})
+    UNION ALL SELECT 'countries', "WealthTier", NULL, "Country", total_customers, avg_net_assets, avg_return, total_churned
+      FROM ({near('SELECT * FROM gold_countries', _COUNTRIES)}))""", "gold_tiers", "gold_ages", "gold_countries"))
+def _(spark, d):
+    """The three gold tables of one pass over silver."""
+    tables = M.gold_split(stage_table(M.gold_groups(_silver(spark, d)), "gold"))
+    text = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    parts = []
+    for name, df, means in zip(("tiers", "ages", "countries"), tables, (_TIERS, _AGES, _COUNTRIES)):
+        back = "avg_portfolio_return" if name == "tiers" else "avg_return"
+        parts.append(rounded(df, means.split()).select(
+            F.lit(name).alias("gold"), *(text(df, c).alias(c) for c in ("WealthTier", "AgeGroup", "Country")), "total_customers",
+            "avg_net_assets", F.col(back).alias("avg_return"), "total_churned"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("agg14_tier_report", with_views(
     f"""SELECT "WealthTier", total_customers, {pr('avg_net_assets', 0)} AS avg_net_assets, {pr('(avg_portfolio_return*100)')} AS avg_return_pct,
     {pr('avg_investments_held', 1)} AS avg_investments, {pr('(avg_diversification*100)', 1)} AS avg_diversification_pct, total_churned,

@@ -36,6 +36,20 @@ def _exchanges(text_plan, kind="hashpartitioning"):
     return len(re.findall(rf"Arguments: {kind}", text_plan))
 
 
+def test_gold_tables_are_one_scan_and_one_shuffle(spark):
+    groups = M.gold_groups(M.silver(stage_table(bank_customers(spark, SF_DIR), "customers")))
+    p = plan(groups)
+    assert len(re.findall(r"^\(\d+\) Scan", p, re.M)) == 1 and _exchanges(p) == 1
+    # Null keys of a table are rows of their own, not taken for columns left out.
+    silver = stage_table(M.silver(bank_customers(spark, SF_DIR)).withColumn(
+        "Country", F.when(F.col("CreditScore") % 3 > 0, F.col("Country"))), "silver")
+    alone = M.gold_wealth_tiers(silver), M.gold_age_groups(silver), M.gold_countries(silver)
+    for got, want in zip(M.gold_split(stage_table(M.gold_groups(silver), "gold")), alone):
+        assert got.columns == want.columns
+        cut = lambda df: sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.collect())
+        assert cut(got) == cut(want)
+
+
 def test_scorecard_is_one_narrow_scan(spark):
     p = plan(B.rule_scorecard(paysim(spark, SF_DIR)))
     assert p.count("Scan parquet") == 2  # the tree and its details: one scan
