@@ -67,8 +67,9 @@ def test_components(spark, seed, n, m):
 
 def _rounds(monkeypatch):
     """Counts the tables written between rounds."""
-    seen, write = [], N.materialise
-    monkeypatch.setattr(N, "materialise", lambda df: seen.append(1) or write(df))
+    seen, checkpoint, write = [], N.materialise, N.stage_table
+    monkeypatch.setattr(N, "materialise", lambda df: seen.append(1) or checkpoint(df))
+    monkeypatch.setattr(N, "stage_table", lambda df, name: seen.append(1) or write(df, name))
     return seen
 
 
