@@ -4,24 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlake.functions.parsing import parse_date
+from finlake.operators import boosting
 
-# Model features, search grid and seed.
+# Model features and search grid.
 FEATURES = (
     "revenue_lag_1", "revenue_lag_2", "revenue_lag_3", "revenue_mean", "revenue_std", "hours_sum",
     "billingrate_mean", "project_count", "month", "quarter",
 )
 GRID = {"n_estimators": (50, 100), "max_depth": (3, 5), "learning_rate": (0.05, 0.1)}
-SEED = 42
 LABEL = "revenue_sum"
 
 
@@ -101,20 +97,23 @@ def chrono_split(df: DataFrame, holdout: int = 2, col: str = "year_month") -> tu
     return df.where(F.col(col) < cut), df.where(F.col(col) >= cut)
 
 
-def _assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
+def fit_revenue(train: DataFrame, n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.1) -> boosting.Model:
+    """Gradient-boosted trees on the ten features."""
+    return boosting.fit(train, FEATURES, LABEL, n_estimators, [(0, max_depth, learning_rate)])[0]
 
 
-def fit_revenue(train: DataFrame, n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.1,
-                seed: int = SEED) -> GBTRegressionModel:
-    """Gradient-boosted trees on the ten features."""
-    trees = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=n_estimators, maxDepth=max_depth,
-                         stepSize=learning_rate, seed=seed)
-    return trees.fit(_assembled(train))
+def predict(model: boosting.Model, df: DataFrame) -> DataFrame:
+    return boosting.predict(model, df, FEATURES)
 
 
-def predict(model: GBTRegressionModel, df: DataFrame) -> DataFrame:
-    return model.transform(_assembled(df)).drop("features")
+def _fold_bounds(df: DataFrame, folds: int, col: str) -> list[tuple]:
+    """First and last month that each fold validates on."""
+    months = [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
+    block = len(months) // (folds + 1)
+    if block == 0:
+        raise ValueError(f"{len(months)} months cannot be cut into {folds} expanding folds")
+    first = len(months) - folds * block
+    return [(months[first + i * block], months[first + (i + 1) * block - 1]) for i in range(folds)]
 
 
 def expanding_folds(df: DataFrame, folds: int = 3, col: str = "year_month") -> list[tuple[DataFrame, DataFrame]]:
@@ -123,47 +122,33 @@ def expanding_folds(df: DataFrame, folds: int = 3, col: str = "year_month") -> l
     Cutting by month keeps a customer's future out of the training part. The
     month list is bounded by the calendar, so it may live on the driver.
     """
-    months = [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
-    block = len(months) // (folds + 1)
-    if block == 0:
-        raise ValueError(f"{len(months)} months cannot be cut into {folds} expanding folds")
-    first = len(months) - folds * block
-    out = []
-    for i in range(folds):
-        lo, hi = months[first + i * block], months[first + (i + 1) * block - 1]
-        out.append((df.where(F.col(col) < lo), df.where(F.col(col).between(lo, hi))))
-    return out
+    return [(df.where(F.col(col) < lo), df.where(F.col(col).between(lo, hi))) for lo, hi in _fold_bounds(df, folds, col)]
 
 
-def time_series_cv(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 3, parallelism: int = 8) -> DataFrame:
+def time_series_cv(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 3, col: str = "year_month") -> DataFrame:
     """Mean validation RMSE per grid point, best first.
 
     A boosted model contains all its shorter prefixes, so only the largest
-    ``n_estimators`` is fitted and the others are read off it.
+    ``n_estimators`` is fitted and the others are read off it. The models of
+    all folds and grid points grow side by side over one table.
     """
     grid = grid or GRID
     sizes = sorted(grid["n_estimators"])
-    spark = df.sparkSession
-    work = [(train, valid, depth, step) for train, valid in expanding_folds(df, folds)
-            for depth, step in product(grid["max_depth"], grid["learning_rate"])]
-
-    def fit(train: DataFrame, valid: DataFrame, depth: int, step: float) -> list[float]:
-        model = fit_revenue(train, sizes[-1], depth, step)
-        return model.evaluateEachIteration(_assembled(valid), "squared")
-
-    # Boosting is a chain of short jobs; the fits are independent and share the executors.
-    with ThreadPoolExecutor(parallelism) as pool:
-        waiting = [pool.submit(inheritable_thread_target(spark)(fit), *w) for w in work]
+    # Fold i trains on the parts up to i and validates on the next one.
+    part = F.lit(0)
+    for i, (lo, _) in enumerate(_fold_bounds(df, folds, col), 1):
+        part = F.when(F.col(col) >= lo, F.lit(i)).otherwise(part)
+    shapes = [(fold, depth, step) for fold in range(folds) for depth, step in product(grid["max_depth"], grid["learning_rate"])]
+    models = boosting.fit(df, FEATURES, LABEL, sizes[-1], shapes, part)
     scores: dict[tuple, list[float]] = {}
-    for (_, _, depth, step), losses in zip(work, waiting):
-        for size in sizes:
-            scores.setdefault((size, depth, step), []).append(math.sqrt(losses.result()[size - 1]))
+    for r in boosting.losses(models, sizes, df, FEATURES, LABEL, part).orderBy("model", "size").collect():
+        scores.setdefault((r["size"], *shapes[r["model"]][1:]), []).append(math.sqrt(r["mse"]))
     rows = [(int(n), int(d), float(s), sum(v) / len(v)) for (n, d, s), v in scores.items()]
     schema = "n_estimators int, max_depth int, learning_rate double, rmse double"
-    return spark.createDataFrame(rows, schema).orderBy("rmse", "n_estimators", "max_depth", "learning_rate")
+    return df.sparkSession.createDataFrame(rows, schema).orderBy("rmse", "n_estimators", "max_depth", "learning_rate")
 
 
-def fit_best(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 3) -> tuple[GBTRegressionModel, DataFrame]:
+def fit_best(df: DataFrame, grid: dict[str, Sequence] | None = None, folds: int = 3) -> tuple[boosting.Model, DataFrame]:
     """Search the grid by expanding folds, then fit all of ``df`` with the best point; the model and the scores."""
     scores = time_series_cv(df, grid, folds)
     best = scores.first()
@@ -197,7 +182,7 @@ def next_month_features(df: DataFrame) -> DataFrame:
     )
 
 
-def forecast_next(df: DataFrame, model: GBTRegressionModel, customer: str | None = None) -> DataFrame:
+def forecast_next(df: DataFrame, model: boosting.Model, customer: str | None = None) -> DataFrame:
     """Predicted revenue of the next month; an unknown customer gives no row."""
     if customer is not None:
         df = df.where(F.col("customer") == customer)

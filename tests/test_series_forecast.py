@@ -3,10 +3,13 @@
 import datetime
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from finlake.functions.bands import age_group, util_band, wealth_tier
 from finlake.functions.numeric import portable_round
+from finlake.operators import boosting
 from finlake.operators import forecast as T
 from finlake.operators import fraud
 from finlake.operators import medallion as M
@@ -149,3 +152,25 @@ def test_best_grid_point_is_refitted(spark):
     model, scores = T.fit_best(f, {"n_estimators": (2, 4), "max_depth": (2,), "learning_rate": (0.1,)}, folds=2)
     best = scores.first()
     assert scores.count() == 2 and model.getNumTrees == best["n_estimators"] and best["rmse"] > 0
+
+
+def test_models_grown_side_by_side(spark, monkeypatch):
+    rows = spark.range(600).select(
+        F.pmod(F.xxhash64("id"), F.lit(20)).cast("double").alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9)).cast("double").alias("b"),
+        (F.col("id") % 3).cast("int").alias("part"))
+    rows = rows.withColumn("y", F.col("a") * F.col("a") - 7 * F.col("b")).cache()
+    shapes = [(0, 2, 0.1), (1, 3, 0.05), (1, 1, 0.1)]
+    waves = []
+    splits = boosting._splits
+    monkeypatch.setattr(boosting, "_splits", lambda *a: waves.append(1) or splits(*a))
+    models = boosting.fit(rows, ["a", "b"], "y", 7, shapes, F.col("part"))
+    # One job for a level of all models: seven trees of three levels.
+    assert len(waves) == 21 and [m.getNumTrees for m in models] == [7, 7, 7]
+    got = {(r["model"], r["size"]): r["mse"]
+           for r in boosting.losses(models, [2, 7], rows, ["a", "b"], "y", F.col("part")).collect()}
+    for i, (limit, depth, step) in enumerate(shapes):
+        alone = GBTRegressor(featuresCol="f", labelCol="y", maxIter=7, maxDepth=depth, stepSize=step).fit(
+            VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(rows.where(F.col("part") <= limit)))
+        theirs = alone.evaluateEachIteration(
+            VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(rows.where(F.col("part") == limit + 1)), "squared")
+        assert [got[i, 2], got[i, 7]] == [pytest.approx(theirs[n - 1], rel=1e-6) for n in (2, 7)]
