@@ -6,7 +6,6 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ OVERLAP = 50
 SEPARATORS = ("\n\n", "\n", " ", "")
 NEIGHBOURS = 4
 LAST_MESSAGES = 6
+# Characters of chunks that a task holds at once; drops nothing.
+CHARACTERS_AT_ONCE = 1_000_000
 # Queries and vectors, on average, that one matrix product compares.
 QUERIES_PER_BATCH = 1024
 VECTORS_PER_BLOCK = 4096
@@ -83,19 +84,36 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP,
     return chunks
 
 
+def _chunked(batch: pa.RecordBatch, size: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of a batch of (key, text), in batches of about CHARACTERS_AT_ONCE characters."""
+    keys, texts = batch.column("key"), batch.column("text")
+    who, numbers, chunks, held = [], [], [], 0
+    for i in range(batch.num_rows):
+        parts = split_text(texts[i].as_py(), size, overlap)
+        who += [i] * len(parts)
+        numbers += range(len(parts))
+        chunks += parts
+        held += sum(map(len, parts))
+        if held >= CHARACTERS_AT_ONCE or i == batch.num_rows - 1:
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(who, pa.int64())), pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())],
+                ["key", "chunk_no", "text"])
+            who, numbers, chunks, held = [], [], [], 0
+
+
 def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """``split_text`` over all documents, one row per chunk."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``split_text`` over all documents, one row per chunk.
+
+    A task holds the chunks of few documents at a time, however many rows an Arrow batch has.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch["text"].map(lambda t: split_text(t, size, overlap))
-            out = pd.DataFrame({"key": batch["key"], "text": parts}).explode("text").dropna(subset=["text"])
-            out["chunk_no"] = out.groupby(level=0).cumcount().astype("int32")
-            yield out[["key", "chunk_no", "text"]]
+            yield from _chunked(batch, size, overlap)
 
     source = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = source.schema["key"].dataType.simpleString()
-    return source.mapInPandas(run, f"key {key_type}, chunk_no int, text string").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {key_type}, chunk_no int, text string").withColumnRenamed("key", key)
 
 
 def build_index(chunks: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:

@@ -50,6 +50,16 @@ def test_recursive_chunks_cover_documents(spark):
         assert "".join(d["text"].split()) == "" or d["text"].rstrip().endswith(chunks[len(chunks) - 1])
 
 
+def test_chunks_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(text, "CHARACTERS_AT_ONCE", 5000)
+    texts = [" ".join(f"{i}w{j}" for j in range(200)) for i in range(50)] + ["", " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+    out = list(text._chunked(batch, 500, 50))
+    assert len(out) > 10 and max(sum(map(len, b.column("text").to_pylist())) for b in out) < 5000 + 2 * len(texts[49])
+    rows = [(r["key"], r["chunk_no"], r["text"]) for b in out for r in b.to_pylist()]
+    assert rows == [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(split_text(t))]
+
+
 def test_fixed_chunks(spark):
     docs = spark.createDataFrame([(1, "a" * 500), (2, "b" * 501), (3, ""), (4, None), (5, "é" * 950)], "doc_id long, text string")
     sizes = {}
