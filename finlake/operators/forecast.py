@@ -34,7 +34,8 @@ def billing_clean(df: DataFrame) -> DataFrame:
     """Stripped names, default project, parsed dates, rows without date, customer or price dropped."""
     named = strip_names(df)
     if dict(named.dtypes)["Worked Date"] == "string":
-        named = named.withColumn("Worked Date", parse_date("Worked Date"))
+        # Behind explode a text is read once a line; a filter on the date itself would read it a second time.
+        named = named.withColumn("Worked Date", F.explode(F.array(parse_date("Worked Date"))))
     else:
         named = named.withColumn("Worked Date", F.to_date("Worked Date"))
     return require(named.fillna({"Project": "Unknown"}), ("Worked Date", "Customer Name", "Extended Price"))

@@ -174,3 +174,11 @@ def test_models_grown_side_by_side(spark, monkeypatch):
         theirs = alone.evaluateEachIteration(
             VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(rows.where(F.col("part") == limit + 1)), "squared")
         assert [got[i, 2], got[i, 7]] == [pytest.approx(theirs[n - 1], rel=1e-6) for n in (2, 7)]
+
+
+def test_dates_are_read_once(spark):
+    rows = [("15/01/2020", "A", "P", 100.0, 1.0, 50.0), ("31/02/2020", "A", "P", 100.0, 1.0, 50.0), (None, "A", "P", 1.0, 1.0, 1.0)]
+    out = T.billing_clean(spark.createDataFrame(rows, LINES))
+    assert [r["Worked Date"] for r in out.collect()] == [D(2020, 1, 15)]
+    plan = T.monthly_features(out)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp" in line]
