@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlake.operators.skew import attach
-from finlake.session import bucketed, growing, materialise, stage_table, watched
+from finlake.session import bucketed, growing, stage_table, watched
+from finlake.session import written as materialise
 
 # Rounds after which the union of deltas is rewritten as one table.
 CONSOLIDATE = 10

@@ -52,12 +52,12 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def watched(df: DataFrame, figure: Column) -> tuple[DataFrame, object]:
-    """:func:`materialise` and an aggregate of the rows, taken while they are written.
+    """:func:`written` and an aggregate of the rows, taken while they are written.
 
     Only for aggregates that repeated rows leave as they are (min, max): a task that runs twice may count twice.
     """
     seen = Observation()
-    return materialise(df.observe(seen, figure.alias("figure"))), seen.get["figure"]
+    return written(df.observe(seen, figure.alias("figure"))), seen.get["figure"]
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -71,6 +71,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet copy, for rounds of loops that write many small rows.
+
+    A checkpoint serialises row by row as objects, which at millions of rows takes longer than the round itself.
+    """
+    return stage_table(df, "round")
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
     """``df`` as a table bucketed and sorted by ``key``, for loops that join it on ``key`` again and again.

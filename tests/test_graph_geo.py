@@ -204,6 +204,12 @@ def test_shortest_paths_rounds_and_plan(spark, monkeypatch):
     assert N.shortest_paths(chain.limit(0), [0]).collect() == [(0, 0, 0.0, None)]
 
 
+def test_rounds_are_written_as_columns(spark):
+    rows, low = N.watched(spark.range(5).select((F.col("id") + 3).alias("node")), F.min("node"))
+    assert low == 3 and "FileScan parquet" in rows._jdf.queryExecution().executedPlan().toString()
+    assert N.watched(rows.where("node < 0"), F.min("node"))[1] is None
+
+
 def test_unreachable_and_mutual(spark):
     edges = _edges(spark, [(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0), (5, 4, 1.0), (4, 6, 1.0), (6, 4, 1.0)])
     matrix = N.distance_matrix(N.shortest_paths(edges, [1, 2, 3, 4, 5, 6]), [1, 2, 3, 4, 5, 6])
