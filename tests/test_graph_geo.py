@@ -210,6 +210,16 @@ def test_rounds_are_written_as_columns(spark):
     assert N.watched(rows.where("node < 0"), F.min("node"))[1] is None
 
 
+def test_folding_ends_when_it_does_not_pay(spark, monkeypatch):
+    rows = _random(4, 150, 700)
+    calls, fold = [], N._fold_mutual
+    monkeypatch.setattr(N, "_fold_mutual", lambda links: calls.append(1) or fold(links))
+    reach = _reach(rows)
+    want = {u: max([u, *(v for v in reach[u] if u in reach[v])]) for u in reach}
+    assert {r["id"]: r["component"] for r in N.strong_components(_edges(spark, rows)).collect()} == want
+    assert len(calls) <= 1
+
+
 def test_unreachable_and_mutual(spark):
     edges = _edges(spark, [(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0), (5, 4, 1.0), (4, 6, 1.0), (6, 4, 1.0)])
     matrix = N.distance_matrix(N.shortest_paths(edges, [1, 2, 3, 4, 5, 6]), [1, 2, 3, 4, 5, 6])
