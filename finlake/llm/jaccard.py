@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finlake.llm.base import slices
@@ -47,6 +47,8 @@ MOST_MATCHES, VERIFY_COST = 4, 0.05
 MOST_OUTSIDERS, PART_SHINGLES = 16, 1 << 20
 #: Sets whose common tokens are the reference of a crowded list.
 SAMPLE = 31
+#: Bits that tell which texts a join asks for (8 MB).
+ASKED_BITS = 1 << 26
 
 #: Tells a token that a set lacks from the same one that a set has.
 _MISSING = np.uint64(0x5555555555555555)
@@ -160,6 +162,21 @@ def profiles(docs: DataFrame, sketch: Broadcast, mean: float, words: int, percen
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long, m int, hub int, prefix array<long>")
 
 
+def asked_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids`` (one column), and a few more: the join after it shuffles only these texts.
+
+    Ids are marked in a bitmap of fixed size, broadcast in at most ASKED_BITS / 32768 rows.
+    """
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(ASKED_BITS)) + F.lit(1)
+
+    at = place(ids.columns[0])
+    marks = ids.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_marks"))
+    placed = docs.withColumn("_bit", F.bitmap_bit_position(place("doc_id"))).withColumn("_bucket", F.bitmap_bucket_number(place("doc_id")))
+    marked = F.expr("shiftright(cast(conv(hex(substring(_marks, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1 = 1")
+    return placed.join(F.broadcast(marks), "_bucket").where(marked).select(*docs.columns)
+
+
 def _paired(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, work: Callable, kind: str,
             references: DataFrame | None = None) -> DataFrame:
     """``work`` over the sets of each pair (``a``, ``b``), in parts of about PART_SHINGLES shingles.
@@ -178,10 +195,10 @@ def _paired(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, work: Callable,
     hot = sizes.where(F.col("size") > PART_SHINGLES).select("b", F.ceil(F.col("size") / PART_SHINGLES).alias("_salts"))
     salt = F.pmod(F.xxhash64("a"), F.coalesce("_salts", F.lit(1)))
     dealt = named.join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("b", salt), F.lit(parts)))
-    left = dealt.join(docs.toDF("_a", "text"), "_a").select("part", "a", "b", "text")
+    left = dealt.join(asked_docs(docs, named.select("_a")).toDF("_a", "text"), "_a").select("part", "a", "b", "text")
     asked = dealt.select("part", "b", "_b").distinct().toDF("deal", "b", "_b")
     if references is None:
-        right = asked.join(docs.toDF("_b", "text"), "_b").select("deal", "text")
+        right = asked.join(asked_docs(docs, named.select("_b")).toDF("_b", "text"), "_b").select("deal", "text")
     else:
         right = asked.join(references, "b").select("deal", F.col("b").alias("node"), "tokens")
     words = work.words
@@ -236,7 +253,8 @@ def references(crowded: DataFrame, nodes: DataFrame, docs: DataFrame, words: int
     """
     order = Window.partitionBy("b").orderBy(F.xxhash64("a"), "a")
     chosen = crowded.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE)
-    texts = chosen.select("a", "b").join(nodes.select(F.col("node").alias("a"), "doc_id"), "a").join(docs, "doc_id")
+    chosen = stage_table(chosen.select("a", "b").join(nodes.select(F.col("node").alias("a"), "doc_id"), "a"), "chosen")
+    texts = chosen.join(asked_docs(docs, chosen.select("doc_id")), "doc_id")
 
     def common(rows: pa.Table) -> pa.Table:
         wanted = set(rows["a"].to_pylist())

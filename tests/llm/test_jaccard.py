@@ -69,3 +69,32 @@ def test_candidates_grow_with_the_group(spark, monkeypatch):
         assert n == 200 or got == brute_components(rows, 5, 80)
         totals.append(sum(made))
     assert 100 <= totals[0] and totals[1] <= 2.5 * totals[0], totals
+
+
+def shuffled_rows(plan):
+    """Rows that all exchanges of an executed plan wrote."""
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_only_texts_of_pairs_are_shuffled(spark):
+    rows = near_copies(400, 5, 60, (2, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    sets = {i: jaccard.shingle_sets([t], 3)[0] for i, t in rows}
+    nodes = spark.createDataFrame([(jaccard.set_node(s), i, len(s)) for i, s in sets.items()], "node long, doc_id long, n long")
+    wanted = [tuple(jaccard.set_node(sets[i]) for i in p) for p in ((1, 2), (3, 4), (5, 4))]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        # Pairs of a large corpus are not broadcast.
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = jaccard.verify(spark.createDataFrame(wanted, "a long, b long"), nodes, docs, 3, 1)
+        assert sorted((r.a, r.b) for r in found.collect()) == sorted(wanted)
+        assert shuffled_rows(found._jdf.queryExecution().executedPlan()) < 100
+        # The asked ids are all there, whatever their type.
+        texts = docs.select(docs.doc_id.cast("string").alias("doc_id"), "text")
+        kept = {r.doc_id for r in jaccard.asked_docs(texts, texts.where("doc_id < 300").select("doc_id")).collect()}
+        assert {str(i) for i in range(300)} <= kept and len(kept) < 310
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
