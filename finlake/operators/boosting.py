@@ -2,9 +2,11 @@
 
 MLlib's regressor runs one job for each level of each tree of each model and
 spends about a microsecond on a row in it. Here rows are cut into at most BINS
-quantile bins once and lie in blocks; a job reads each block once and adds up
-the histograms of the next level of every model. Spark sums them per node and
-picks the splits; the driver sees one row per open node.
+quantile bins once. Rows with the same bins end in the same leaf of every tree,
+so Spark adds them up to one with their number and the sum of their labels.
+These lie in blocks; a job reads each block once and adds up the histograms of
+the next level of every model. Spark sums them per node and picks the splits;
+the driver sees one row per open node.
 
 The trees are those of MLlib: squared loss, splits by gain in variance, the
 first tree with weight one, all others with the step size.
@@ -22,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finlake.session import materialise
+from finlake.session import written
 
-# Bins of a feature, and trees after which the predictions in the blocks are brought up to date.
-BINS = 32
+# Bins of a feature and their bits, features in a packed long, and trees after which the residuals in the
+# blocks are brought up to date.
+BINS, BITS = 32, 5
+PACKED = 12
 FRESH = 5
 
 
@@ -94,41 +98,86 @@ def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray]:
     return [batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _blocks(df: DataFrame, features: Sequence[str], label: str, part: Column, cuts: list[np.ndarray], n: int) -> DataFrame:
-    """One row per Arrow batch: bins, parts and labels of its rows, and what ``n`` models predict for them."""
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features],
+def _rows(df: DataFrame, features: Sequence[str], label: str, part: Column) -> DataFrame:
+    return df.select(*[F.col(f).cast("double").alias(f) for f in features],
                      F.col(label).cast("double").alias("_y"), part.cast("double").alias("_part"))
 
+
+def _cut(batch: pa.RecordBatch, features: Sequence[str], cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, parts and labels of a batch of :func:`_rows`."""
+    bins = binned(_columns(batch, features), cuts)
+    y, part = _columns(batch, ["_y", "_part"])
+    if np.isnan(y).any():
+        raise ValueError("labels must not be null or NaN")
+    return bins, part.astype(np.uint8), y
+
+
+def _packed(bins: np.ndarray) -> list[np.ndarray]:
+    """Bins (feature, row) as longs of PACKED features each."""
+    out = []
+    for at in range(0, len(bins), PACKED):
+        key = np.zeros(bins.shape[1], np.int64)
+        for b in bins[at:at + PACKED]:
+            key = (key << BITS) | b
+        out.append(key)
+    return out
+
+
+def _unpacked(keys: list[np.ndarray], n_features: int) -> np.ndarray:
+    """The bins that :func:`_packed` made ``keys`` of."""
+    out = np.empty((n_features, len(keys[0])), np.uint8)
+    for i, key in enumerate(keys):
+        last = min((i + 1) * PACKED, n_features) - 1
+        for f in range(i * PACKED, last + 1):
+            out[f] = (key >> (BITS * (last - f))) & (BINS - 1)
+    return out
+
+
+def _blocks(df: DataFrame, features: Sequence[str], label: str, part: Column, cuts: list[np.ndarray], n: int) -> DataFrame:
+    """One row per Arrow batch of distinct bins and parts: how many rows have them, and for ``n`` models what is left of their labels."""
+    names = [f"_key{i}" for i in range(-(-len(features) // PACKED))]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bins = binned(_columns(batch, features), cuts)
-                y, where = _columns(batch, ["_y", "_part"])
-                if np.isnan(y).any():
-                    raise ValueError("labels must not be null or NaN")
+                bins, where, y = _cut(batch, features, cuts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([a.tobytes()], pa.binary()) for a in (bins, where.astype(np.uint8), y, np.zeros((n, len(y))))],
-                    ["bins", "part", "y", "made"])
+                    [*(pa.array(k) for k in _packed(bins)), pa.array(where.astype(np.int32)), pa.array(y)], [*names, "_part", "_y"])
 
-    return rows.mapInArrow(cut, "bins binary, part binary, y binary, made binary")
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = _unpacked([batch.column(k).to_numpy() for k in names], len(features))
+                where, count, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "_n", "_y"))
+                # Most numbers take one byte.
+                count = count.astype(np.min_scalar_type(count.max()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a.tobytes()], pa.binary()) for a in (bins, where.astype(np.uint8), count, np.tile(y, (n, 1)))],
+                    ["bins", "part", "n", "rest"])
+
+    binned_rows = _rows(df, features, label, part).mapInArrow(cut, ", ".join([*(f"{k} long" for k in names), "_part int, _y double"]))
+    same = binned_rows.groupBy(*names, "_part").agg(F.count("*").alias("_n"), F.sum("_y").alias("_y"))
+    return same.mapInArrow(block, "bins binary, part binary, n binary, rest binary")
 
 
-def _read(block: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bins, parts, labels and the predictions of ``n`` models of one block."""
-    part, y = np.frombuffer(block["part"], np.uint8), np.frombuffer(block["y"])
-    return np.frombuffer(block["bins"], np.uint8).reshape(-1, len(y)), part, y, np.frombuffer(block["made"]).reshape(n, len(y))
+def _read(batch: pa.RecordBatch, models: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bins, parts, numbers of rows and what is left for ``models`` models of each block."""
+    for block in zip(*(batch.column(c) for c in ("bins", "part", "n", "rest"))):
+        bins, part, count, rest = (c.as_buffer() for c in block)
+        rows = part.size
+        yield (np.frombuffer(bins, np.uint8).reshape(-1, rows), np.frombuffer(part, np.uint8),
+               np.frombuffer(count, f"u{count.size // rows}"), np.frombuffer(rest).reshape(models, rows))
 
 
 def _refreshed(blocks: DataFrame, models: list[Model], since: list[int], upto: list[int]) -> DataFrame:
-    """The blocks with the trees up to ``upto`` in their predictions."""
+    """The blocks without what the trees up to ``upto`` explain."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.to_pylist():
-                bins, _, _, made = _read(block, len(models))
-                new = [old + m.added(bins, a, b) for old, m, a, b in zip(made, models, since, upto)]
+            for i, (bins, _, count, rest) in enumerate(_read(batch, len(models))):
+                new = [old - count * m.added(bins, a, b) for old, m, a, b in zip(rest, models, since, upto)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([block[c]], pa.binary()) for c in ("bins", "part", "y")), pa.array([np.stack(new).tobytes()], pa.binary())],
-                    ["bins", "part", "y", "made"])
+                    [*(batch.column(c).slice(i, 1) for c in ("bins", "part", "n")), pa.array([np.stack(new).tobytes()], pa.binary())],
+                    ["bins", "part", "n", "rest"])
 
     return blocks.mapInArrow(run, blocks.schema)
 
@@ -141,28 +190,28 @@ def _splits(blocks: DataFrame, models: list[Model], since: list[int], growing: l
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros((len(o), *shape)) for o in opened]
         for batch in batches:
-            for block in batch.to_pylist():
-                every, parts, y, made = _read(block, len(models))
+            for every, parts, count, left in _read(batch, len(models)):
                 kept = {}
                 for i, (model, tree) in enumerate(zip(models, growing)):
                     if tree is None:
                         continue
                     if model.limit not in kept:
                         inside = parts <= model.limit
-                        kept[model.limit] = (inside, every if inside.all() else np.ascontiguousarray(every[:, inside]))
-                    inside, bins = kept[model.limit]
+                        kept[model.limit] = (..., every, count) if inside.all() else (
+                            inside, np.ascontiguousarray(every[:, inside]), count[inside])
+                    inside, bins, times = kept[model.limit]
                     # The negative gradient; the first tree is fitted to the labels themselves.
-                    rest = (2 if model.trees else 1) * (y[inside] - made[i][inside] - model.added(bins, since[i]))
+                    rest = (2 if model.trees else 1) * (left[i][inside] - times * model.added(bins, since[i]))
                     slot = np.full(len(tree.feature), -1)
                     slot[opened[i]] = range(len(opened[i]))
                     at = slot[tree.nodes(bins)]
                     if (at < 0).any():
                         used = at >= 0
-                        at, rest, bins = at[used], rest[used], bins[:, used]
+                        at, rest, bins, times = at[used], rest[used], bins[:, used], times[used]
                     base, size = at * BINS, len(opened[i]) * BINS
                     for f in range(n_features):
                         key = base + bins[f]
-                        held[i][:, 0, f] += np.bincount(key, minlength=size).reshape(-1, BINS)
+                        held[i][:, 0, f] += np.bincount(key, times, size).reshape(-1, BINS)
                         held[i][:, 1, f] += np.bincount(key, rest, size).reshape(-1, BINS)
         at = TaskContext.get().partitionId()
         rows = [(at, i, node, h.tobytes()) for i, o in enumerate(opened) for node, h in zip(o, held[i])]
@@ -200,8 +249,8 @@ def fit(df: DataFrame, features: Sequence[str], label: str, n: int, shapes: Sequ
     """
     cuts = _cuts(df, features)
     models = [Model(cuts, depth, step, limit) for limit, depth, step in shapes]
-    # A checkpoint and not a cache: a plan that holds all refreshed blocks takes seconds to analyse.
-    blocks = materialise(_blocks(df, features, label, part if part is not None else F.lit(0), cuts, len(models)))
+    # Parquet copies and not a cache: a plan that holds all refreshed blocks takes seconds to analyse.
+    blocks = written(_blocks(df, features, label, part if part is not None else F.lit(0), cuts, len(models)))
     since = [0] * len(models)
     growing: list[Tree | None] = [Tree(m.depth) for m in models]
     opened = [[0] for _ in models]
@@ -223,7 +272,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, n: int, shapes: Sequ
                 growing[i], opened[i] = (Tree(model.depth), [0]) if len(model.trees) < n else (None, [])
         if max(len(m.trees) - a for m, a in zip(models, since)) >= FRESH and any(t is not None for t in growing):
             upto = [len(m.trees) for m in models]
-            blocks, since = materialise(_refreshed(blocks, models, since, upto)), upto
+            blocks, since = written(_refreshed(blocks, models, since, upto)), upto
     return models
 
 
@@ -242,12 +291,11 @@ def losses(models: list[Model], sizes: Sequence[int], df: DataFrame, features: S
     One scan for all models and sizes.
     """
     cuts = models[0].cuts
-    blocks = _blocks(df, features, label, part, cuts, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.to_pylist():
-                every, parts, y, _ = _read(block, 0)
+            if batch.num_rows:
+                every, parts, y = _cut(batch, features, cuts)
                 rows = []
                 for i, model in enumerate(models):
                     inside = parts == model.limit + 1
@@ -259,5 +307,5 @@ def losses(models: list[Model], sizes: Sequence[int], df: DataFrame, features: S
                     [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64()))],
                     ["model", "size", "n", "squares"])
 
-    parts = blocks.mapInArrow(run, "model int, size int, n long, squares double")
+    parts = _rows(df, features, label, part).mapInArrow(run, "model int, size int, n long, squares double")
     return parts.groupBy("model", "size").agg((F.sum("squares") / F.sum("n")).alias("mse"))

@@ -182,3 +182,24 @@ def test_dates_are_read_once(spark):
     assert [r["Worked Date"] for r in out.collect()] == [D(2020, 1, 15)]
     plan = T.monthly_features(out)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "regexp" in line]
+
+
+def test_rows_of_equal_bins_are_stored_once(spark):
+    rows = spark.range(3000).select(
+        *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)).cast("double").alias(f"f{i}") for i in range(14)],
+        F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("part"), (F.col("id") % 97).cast("double").alias("y"))
+    rows = rows.localCheckpoint()
+    copies = rows.crossJoin(spark.range(20)).drop("id")
+    names = [f"f{i}" for i in range(14)]
+    cuts = boosting._cuts(rows, names)
+
+    def stored(df):
+        blocks = boosting._blocks(df, names, "y", F.col("part"), cuts, 2)
+        return blocks.agg(F.sum(F.length("part"))).first()[0]
+
+    # More features than a long holds are all told apart.
+    assert stored(rows) == stored(copies) == 3000
+    fitted = [boosting.fit(df, names, "y", 6, [(0, 3, 0.1), (1, 2, 0.1)], F.col("part")) for df in (rows, copies)]
+    for one, many in zip(*fitted):
+        for a, b in zip(one.trees, many.trees):
+            assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)
