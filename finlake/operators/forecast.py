@@ -183,9 +183,9 @@ def next_month_features(df: DataFrame) -> DataFrame:
     )
 
 
-def forecast_next(df: DataFrame, model: boosting.Model, customer: str | None = None) -> DataFrame:
-    """Predicted revenue of the next month; an unknown customer gives no row."""
+def forecast_next(df: DataFrame, model: boosting.Model, customer: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Predicted revenue of the next month, with the features in ``keep``; an unknown customer gives no row."""
     if customer is not None:
         df = df.where(F.col("customer") == customer)
     return predict(model, next_month_features(df)).select(
-        "customer", "year_month", F.date_format("year_month", "MMMM yyyy").alias("label"), "prediction")
+        "customer", "year_month", F.date_format("year_month", "MMMM yyyy").alias("label"), *keep, "prediction")

@@ -111,5 +111,5 @@ def _(spark, d):
     """Next month of every customer: the features it is forecast from, and that there is a forecast."""
     lagged, _, model = _trained(spark, d)
     lags = ["revenue_lag_1", "revenue_lag_2", "revenue_lag_3"]
-    made = T.forecast_next(lagged, model).join(T.next_month_features(lagged).select("customer", *lags), "customer")
+    made = T.forecast_next(lagged, model, keep=lags)
     return rounded(made.withColumn("predicted", F.col("prediction").isNotNull()).drop("prediction"), lags)

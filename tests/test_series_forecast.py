@@ -203,3 +203,11 @@ def test_rows_of_equal_bins_are_stored_once(spark):
     for one, many in zip(*fitted):
         for a, b in zip(one.trees, many.trees):
             assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)
+
+
+def test_forecast_keeps_its_features(spark):
+    rows = [r for c in "AB" for r in _bills(spark, range(1, 13), c)]
+    f = T.add_lags(T.monthly_features(T.billing_clean(spark.createDataFrame(rows, LINES)))).cache()
+    out = T.forecast_next(f, T.fit_revenue(f, n_estimators=1), keep=["revenue_lag_1"])
+    assert out.columns == ["customer", "year_month", "label", "revenue_lag_1", "prediction"]
+    assert [r["revenue_lag_1"] for r in out.collect()] == [1200.0, 1200.0]
