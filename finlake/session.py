@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,6 +52,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed(rdd: RDD) -> RDD:
+    """``rdd`` whose lineage is cut by a reliable checkpoint with the first job that reads it; for what is persisted."""
+    if not rdd.ctx.getCheckpointDir():
+        rdd.ctx.setCheckpointDir(shared_dir(SparkSession.active()))
+    rdd.checkpoint()
+    return rdd
+
+
+def drop_checkpoint(rdd: RDD) -> None:
+    """Delete the checkpoint of an ``rdd`` that nothing reads any more."""
+    if file := rdd.getCheckpointFile():
+        _delete(SparkSession.active(), file)
+
+
 def watched(df: DataFrame, figure: Column) -> tuple[DataFrame, object]:
     """:func:`written` and an aggregate of the rows, taken while they are written.
 
@@ -139,8 +154,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def drop_staged(spark: SparkSession) -> bool:
     """Delete everything this application staged; call it when the results were written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, _own_folder(spark))

@@ -1,12 +1,14 @@
 """Series, features, folds, segments."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from finlake import session
 from finlake.functions.bands import age_group, util_band, wealth_tier
 from finlake.functions.numeric import portable_round
 from finlake.operators import boosting
@@ -211,3 +213,28 @@ def test_forecast_keeps_its_features(spark):
     out = T.forecast_next(f, T.fit_revenue(f, n_estimators=1), keep=["revenue_lag_1"])
     assert out.columns == ["customer", "year_month", "label", "revenue_lag_1", "prediction"]
     assert [r["revenue_lag_1"] for r in out.collect()] == [1200.0, 1200.0]
+
+
+def _files(spark):
+    folder = Path(session.shared_dir(spark).removeprefix("file:"))
+    return {p for p in folder.rglob("*") if p.is_file()}
+
+
+def test_a_level_is_one_job_and_leaves_no_files(spark, monkeypatch):
+    rows = spark.range(2000).select(
+        *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)).cast("double").alias(f"f{i}") for i in range(13)], (F.col("id") % 97).cast("double").alias("y"))
+    rows = rows.localCheckpoint()
+    names, sc, before = [f"f{i}" for i in range(13)], spark.sparkContext, _files(spark)
+    # Lineage is cut by checkpoints on the way, which go as well.
+    fitted = []
+    for rounds in (2, 100):
+        monkeypatch.setattr(boosting, "ROUNDS", rounds)
+        sc.setJobGroup(f"fit-{rounds}", "")
+        fitted.append(boosting.fit(rows, names, "y", 12, [(0, 2, 0.1)])[0])
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"fit-{rounds}"))
+        # 24 levels; quantiles, blocks and checkpoints come besides.
+        assert 24 <= jobs <= 24 + 8 + 12 // rounds
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert _files(spark) == before
+    for a, b in zip(*(m.trees for m in fitted)):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)
