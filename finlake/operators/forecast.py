@@ -32,20 +32,25 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def billing_clean(df: DataFrame) -> DataFrame:
     """Stripped names, default project, parsed dates, rows without date, customer or price dropped."""
+    # Each column by itself: a filter on one column can go below the joins that bring the others.
     named = strip_names(df)
+    for c in ("Extended Price", "Customer Name"):
+        named = require(named, [c])
     if dict(named.dtypes)["Worked Date"] == "string":
         # Behind explode a text is read once a line; a filter on the date itself would read it a second time.
         named = named.withColumn("Worked Date", F.explode(F.array(parse_date("Worked Date"))))
     else:
         named = named.withColumn("Worked Date", F.to_date("Worked Date"))
-    return require(named.fillna({"Project": "Unknown"}), ("Worked Date", "Customer Name", "Extended Price"))
+    return require(named.fillna({"Project": "Unknown"}), ["Worked Date"])
 
 
 def monthly_features(df: DataFrame) -> DataFrame:
     """One row per customer and month. A single line has deviation zero; missing values do not enter means.
 
-    Nothing is collected per customer: lines combine map-side, and distinct
-    projects are shuffled by (customer, month, project).
+    Lines are shuffled once, as they are, by (customer, month): what is known of
+    a group's sums takes more room than its few lines, and distinct projects
+    would be shuffled twice. A customer is spread over its months, and a group
+    passes in a stream.
     """
     lines = df.select(
         F.col("Customer Name").alias("customer"),
@@ -54,7 +59,7 @@ def monthly_features(df: DataFrame) -> DataFrame:
         F.col("Billable Hours").alias("hours"),
         F.col("Hourly Billing Rate").alias("rate"),
         F.col("Project").alias("project"),
-    )
+    ).repartition("customer", "year_month")
     return (
         lines.groupBy("customer", "year_month")
         .agg(

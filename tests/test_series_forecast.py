@@ -17,6 +17,8 @@ from finlake.operators import fraud
 from finlake.operators import medallion as M
 from finlake.operators import segments as S
 from finlake.operators import series as P
+from finlake.plans.tables import billing
+from tests.oracle import SF_DIR
 
 D = datetime.date
 
@@ -238,3 +240,23 @@ def test_a_level_is_one_job_and_leaves_no_files(spark, monkeypatch):
     assert _files(spark) == before
     for a, b in zip(*(m.trees for m in fitted)):
         assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)
+
+
+def test_lines_are_shuffled_once(spark):
+    features = T.add_lags(T.monthly_features(T.billing_clean(spark.createDataFrame(_bills(spark, [1, 2]), LINES))))
+    # By customer and month, and by customer for the lags.
+    assert features._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_lines_without_price_go_before_the_joins(spark):
+    plan = T.billing_clean(billing(spark, SF_DIR))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    unpriced = [i for i, line in enumerate(plan) if "Filter" in line and "atleastnnonnulls" in line and "l_discount" in line]
+    assert len(joins) == 3 and unpriced and unpriced[0] > joins[1]
+
+
+def test_lines_without_price_customer_or_date_are_dropped(spark):
+    rows = [("15/01/2020", "A", "P", p, 1.0, 50.0) for p in (1.0, None, float("nan"))]
+    rows += [("15/01/2020", None, "P", 1.0, 1.0, 50.0), ("bad", "A", "P", 1.0, 1.0, 50.0), (None, "A", None, 1.0, 1.0, 50.0), ("16/01/2020", "B", None, 2.0, None, None)]
+    out = T.billing_clean(spark.createDataFrame(rows, LINES))
+    assert sorted((r["Customer Name"], r["Project"], r["Extended Price"]) for r in out.collect()) == [("A", "P", 1.0), ("B", "Unknown", 2.0)]
