@@ -180,7 +180,7 @@ def _blocks(df: DataFrame, features: Sequence[str], label: str, part: Column, cu
 def _kept(pieces: DataFrame, limits: list[int]) -> RDD:
     """Blocks: keys, numbers of rows and, for each model, what is left of the labels of its rows, which come first.
 
-    Every core gets as many rows; a block has about BLOCK of them.
+    Pieces are dealt out to all cores, ten at a time; a block has about BLOCK rows.
     """
     def block(rows: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray | None]]:
         part = np.concatenate([np.frombuffer(r["part"], np.uint8) for r in rows])
